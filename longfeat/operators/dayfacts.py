@@ -32,16 +32,13 @@ def day_facts(
     aggregate, when a person has at most one row per calendar day.
     """
     keys = encounters.select(*DAY_KEY)
-    if cohort is not None:
-        keys = keys.withColumn("_met", F.lit(True))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts, keys)
     packed = set(word_names(len(indicators)))
     plain = [c for c in rows.columns if c not in DAY_KEY and c not in packed]
     merged = [(F.bit_or(c) if c in packed else F.max(c)).alias(c) for c in rows.columns if c not in DAY_KEY]
     days = rows.groupBy(*DAY_KEY).agg(*merged) if merged else rows.distinct()
     if cohort is not None:
-        days = mask_outsiders(days, cohort)
-        plain.remove("_met")
+        days = with_outsiders(days, keys, cohort)
     if indicators:
         clash = [c for c in plain if c in indicators]
         days = days.withColumnsRenamed({c: f"_part_{c}" for c in clash})
@@ -51,13 +48,11 @@ def day_facts(
     return fill_zero(days, keep_null) if fill else days
 
 
-def mask_outsiders(days: DataFrame, cohort: DataFrame) -> DataFrame:
-    """Cohort persons unchanged; of other persons only the days with an encounter, with every value null."""
-    member = cohort.select("person_id").distinct().withColumn("_member", F.lit(True))
-    marked = days.join(member, "person_id", "left")
-    values = [c for c in days.columns if c not in {*DAY_KEY, "_met"}]
-    kept = marked.where(F.col("_member") | F.col("_met"))
-    return kept.select(*DAY_KEY, *[F.when(F.col("_member"), F.col(c)).alias(c) for c in values])
+def with_outsiders(days: DataFrame, encounters: DataFrame, cohort: DataFrame) -> DataFrame:
+    """Days of cohort persons, plus the bare encounter days (every value null) of other persons."""
+    people = cohort.select("person_id")
+    outsiders = encounters.distinct().join(people, "person_id", "left_anti")
+    return days.join(people, "person_id", "left_semi").unionByName(outsiders, allowMissingColumns=True)
 
 
 def fill_zero(df: DataFrame, keep_null: Iterable[str] = ()) -> DataFrame:
