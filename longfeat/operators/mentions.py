@@ -50,10 +50,10 @@ def consistent_mentions(noted: DataFrame) -> DataFrame:
     return salted_join(signed, both, pair, "left_anti", ["mention_id"]).distinct()
 
 
-def match_concepts(mentions: DataFrame, related: DataFrame) -> DataFrame:
+def match_concepts(mentions: DataFrame, related: DataFrame, small_fits: bool | None = None) -> DataFrame:
     """Mentions of related concepts, with the set and concept names (one row per set of the concept)."""
     known = related.where(F.col("concept_id").isNotNull()).select("concept_id", "concept_name", "codeset_id", "set_name")
-    return lookup_join(mentions, known, "concept_id", spread_by=["note_id", "mention_id"])
+    return lookup_join(mentions, known, "concept_id", "inner", ["note_id", "mention_id"], small_fits)
 
 
 def positive_only(mentions: DataFrame) -> DataFrame:

@@ -40,20 +40,24 @@ def rank_concepts(stacked: DataFrame, k: int = TOPK_WIDTH, page: int = 0) -> Dat
     )
 
 
-def topk_cells(
-    domains: Mapping[str, DataFrame], k: int = TOPK_WIDTH, page: int = 0, keys: Sequence[str] = ("person_id",)
-) -> DataFrame:
-    """Sparse form of the matrix: the distinct (keys, feature) that are 1."""
-    stacked = stack_domains(domains, keys)
+def cells_of(stacked: DataFrame, keys: Sequence[str], k: int = TOPK_WIDTH, page: int = 0) -> DataFrame:
+    """Distinct (keys, feature) of the chosen concepts of a stacked table."""
     chosen = rank_concepts(stacked, k, page).select("domain", "concept_id", "feature")
     # At most k rows per domain.
     return stacked.join(F.broadcast(chosen), ["domain", "concept_id"]).select(*keys, "feature").distinct()
 
 
-def chosen_features(domains: Mapping[str, DataFrame], k: int = TOPK_WIDTH, page: int = 0) -> list[tuple]:
+def topk_cells(domains: Mapping[str, DataFrame], k: int = TOPK_WIDTH, page: int = 0) -> DataFrame:
+    """Sparse form of the person matrix: the distinct (person_id, feature) that are 1."""
+    return cells_of(stack_domains(domains), ["person_id"], k, page)
+
+
+def chosen_features(
+    stacked: DataFrame, domains: Sequence[str], k: int = TOPK_WIDTH, page: int = 0
+) -> list[tuple]:
     """(domain, concept_id, feature) in domain and rank order: at most k per domain, so they may name columns."""
     place = {name: i for i, name in enumerate(domains)}
-    rows = rank_concepts(stack_domains(domains), k, page).select("domain", "rank", "concept_id", "feature").collect()
+    rows = rank_concepts(stacked, k, page).select("domain", "rank", "concept_id", "feature").collect()
     rows.sort(key=lambda r: (place[r.domain], r["rank"]))
     return [(r.domain, r.concept_id, r.feature) for r in rows]
 
@@ -85,32 +89,29 @@ def topk_matrix(
     The sparse form keeps wide matrices out of generated code.
     """
     people = cohort.select("person_id").distinct()
-    chosen = chosen_features(domains, k)
+    stacked = stack_domains(domains)
+    chosen = chosen_features(stacked, list(domains), k)
     names = [feature for _, _, feature in chosen]
     if sparse:
-        held = topk_cells(domains, k).groupBy("person_id").agg(F.collect_list("feature").alias("held"))
+        held = cells_of(stacked, ["person_id"], k).groupBy("person_id").agg(F.collect_list("feature").alias("held"))
         held = people.join(held, "person_id", "left").withColumn(
             "held", F.coalesce(F.col("held"), F.array().cast("array<string>"))
         )
         to_vector = CountVectorizerModel.from_vocabulary(names, inputCol="held", outputCol="features")
         return to_vector.setBinary(True).transform(held).select("person_id", "features")
-    packed = packed_matrix(stack_domains(domains), chosen, ["person_id"])
+    packed = packed_matrix(stacked, chosen, ["person_id"])
     return unpack(people.join(packed, "person_id", "left"), names)
 
 
-def recent_events(
-    domains: Mapping[str, DataFrame], lookback: int = LOOKBACK_DAYS
-) -> dict[str, DataFrame]:
-    """Each domain cut to the days strictly after (last day of the person in any domain - lookback).
+def recent_events(domains: Mapping[str, DataFrame], lookback: int = LOOKBACK_DAYS) -> DataFrame:
+    """Stacked events on the days strictly after (last day of the person in any domain - lookback).
 
     The last day is one small row per person; the events meet it in a salted join, so a busy person is spread.
     """
-    dated = stack_days(domains)
-    last = dated.groupBy("person_id").agg(F.date_sub(F.max("day"), lookback).alias("cutoff_day"))
     stacked = stack_domains(domains, DAY_KEY)
+    last = stack_days(domains).groupBy("person_id").agg(F.date_sub(F.max("day"), lookback).alias("cutoff_day"))
     recent = salted_join(stacked, last, ["person_id"], "inner", ["day", "domain", "concept_id"])
-    recent = recent.where(F.col("day") > F.col("cutoff_day")).drop("cutoff_day")
-    return {name: recent.where(F.col("domain") == name).drop("domain") for name in domains}
+    return recent.where(F.col("day") > F.col("cutoff_day")).drop("cutoff_day")
 
 
 def stack_days(domains: Mapping[str, DataFrame]) -> DataFrame:
@@ -142,8 +143,7 @@ def topk_day_matrix(
     recent = recent_events(domains, lookback)
     labelled = outcome.select("person_id", "outcome").distinct()
     if sparse:
-        return topk_cells(recent, k, page, DAY_KEY).join(labelled, "person_id")
-    chosen = chosen_features(recent, k, page)
-    packed = packed_matrix(stack_domains(recent, DAY_KEY), chosen, DAY_KEY)
+        return cells_of(recent, DAY_KEY, k, page).join(labelled, "person_id")
+    chosen = chosen_features(recent, list(domains), k, page)
+    packed = packed_matrix(recent, chosen, DAY_KEY)
     return unpack(packed.join(labelled, "person_id"), [feature for _, _, feature in chosen])
-

@@ -80,10 +80,9 @@ def resolve_domains(
 ) -> DataFrame:
     """Distinct (domain, concept_id, indicator) of several domains in one join; values are the exempt sets."""
     domains = domains if isinstance(domains, Mapping) else dict.fromkeys(domains, ())
-    routes = [route(registry, d).select("set_name", "indicator", F.lit(d).alias("domain")) for d in domains]
-    routed = routes[0]
-    for more in routes[1:]:
-        routed = routed.unionByName(more)
+    words = F.array(*[F.lit(d) for d in domains])
+    named = F.explode(F.filter(words, lambda d: F.col("domain").contains(d)))
+    routed = registry.select("set_name", "indicator", named.alias("route")).withColumnRenamed("route", "domain")
     active = members.select("set_name", "concept_id", truthy(F.col("is_current")).alias("active"))
     allowed = F.col("active")
     for d, exempt in domains.items():

@@ -388,7 +388,7 @@ def related(v: Views) -> DataFrame:
 
 def matched(v: Views) -> DataFrame:
     noted = mentions.note_mentions(v.notes(), v.mentions())
-    return mentions.match_concepts(mentions.consistent_mentions(noted), related(v))
+    return mentions.match_concepts(mentions.consistent_mentions(noted), related(v), v.small)
 
 
 def note_signs(v: Views) -> DataFrame:
