@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Lookup rows are a key and a few narrow columns, so this bound keeps a broadcast near 50 MB.
@@ -19,8 +19,8 @@ SALT_SAFE = {"inner", "left", "left_semi", "left_anti"}
 
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when the frame has at most ``max_rows`` rows (a job over the lookup side only)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when the frame has at most ``max_rows`` rows (a distributed count of the lookup side only)."""
+    return df.count() <= max_rows
 
 
 def salted_join(
@@ -29,13 +29,36 @@ def salted_join(
     """Equi-join with the large side spread by a hash of ``spread_by``; repeatable, so safe to recompute."""
     if how not in SALT_SAFE:
         raise ValueError(f"salted_join cannot keep {how!r} exact")
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(salts)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    left = big.withColumn("_salt", salt)
-    right = small.withColumn("_salt", copies)
+    left = big.withColumn("_salt", salt_of(spread_by, salts))
+    right = small.withColumn("_salt", F.explode(all_salts(salts)))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def salt_of(columns: Sequence[str], salts: int = SALTS) -> Column:
+    """A row's salt from a hash of the columns."""
+    return F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(salts)).cast("int")
+
+
+def all_salts(salts: int = SALTS) -> Column:
+    return F.sequence(F.lit(0), F.lit(salts - 1))
+
+
+def spread_left_join(
+    left: DataFrame, big: DataFrame, on: Sequence[str], spread_by: Sequence[str], salts: int = SALTS
+) -> DataFrame:
+    """Left join whose *right* side may hold a hot key.
+
+    Left rows with a match are repeated once per salt and meet only that share of the right rows; a repeat that finds
+    nothing is dropped, because its key is known to match elsewhere. Left rows without a match stay single.
+    """
+    keys = list(on)
+    known = big.select(*keys).distinct().withColumn("_has", F.lit(True))
+    copies = F.when(F.col("_has"), all_salts(salts)).otherwise(F.array(F.lit(0)))
+    spread = big.withColumn("_salt", salt_of(spread_by, salts)).withColumn("_hit", F.lit(True))
+    joined = left.join(known, keys, "left").withColumn("_salt", F.explode(copies)).join(spread, [*keys, "_salt"], "left")
+    return joined.where(F.col("_hit") | F.col("_has").isNull()).drop("_salt", "_has", "_hit")
+
+
 def lookup_join(
     big: DataFrame,
     small: DataFrame,

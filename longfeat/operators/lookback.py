@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from longfeat.functions.joins import spread_left_join
 from longfeat.operators.indicators import DAY_KEY
 from longfeat.plans.defaults import LOOKBACK_DAYS
 
@@ -35,6 +36,5 @@ def recent_counts(recent: DataFrame) -> DataFrame:
 
 def join_notes(recent: DataFrame, note_features: DataFrame) -> DataFrame:
     """Note features of the same person and day joined to the recent rows; ``has_note`` is 1.0 where one exists."""
-    features = [c for c in note_features.columns if c not in {"note_id", "visit_id"}]
-    notes = note_features.select(*features).withColumn("has_note", F.lit(1.0))
-    return recent.join(notes, DAY_KEY, "left")
+    notes = note_features.drop("visit_id").withColumn("has_note", F.lit(1.0))
+    return spread_left_join(recent, notes, DAY_KEY, ["note_id"]).drop("note_id")

@@ -12,23 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from longfeat.functions.columns import column_name
-from longfeat.functions.joins import lookup_join, salted_join
+from longfeat.functions.joins import lookup_join, salted_join, spread_left_join
 from longfeat.plans.defaults import MIN_MENTIONS, NEGATED, NO_CONCEPT, POSITIVE, RATE_FLOOR, TOPK_WIDTH
 
 NOTE_COLUMNS = ["note_id", "person_id", "day", "visit_id"]
 
 
 def note_mentions(notes: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Notes left-joined with their mentions.
-
-    A note may hold very many mentions: the mentions are the spread side of the join, and the notes without any are
-    added by an anti join against the distinct note ids.
-    """
-    notes = notes.select(*NOTE_COLUMNS)
-    matched = salted_join(mentions, notes, ["note_id"], "inner", ["mention_id"])
-    silent = notes.join(mentions.select("note_id").distinct(), "note_id", "left_anti")
-    others = [c for c in mentions.columns if c != "note_id"]
-    return matched.select(*NOTE_COLUMNS, *others).unionByName(silent, allowMissingColumns=True)
+    """Notes left-joined with their mentions. A note may hold very many, so the mentions are spread."""
+    return spread_left_join(notes.select(*NOTE_COLUMNS), mentions, ["note_id"], ["mention_id"])
 
 
 def consistent_mentions(noted: DataFrame) -> DataFrame:

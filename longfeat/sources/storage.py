@@ -12,19 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from longfeat.sources.tables import inline
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as the session names it in ``spark.checkpoint.dir``.
 
     Only a local-mode session without the setting gets a temporary folder of its own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    key = "spark.checkpoint.dir"
+    named = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    folder = tempfile.mkdtemp(prefix="longfeat-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="longfeat-")
+    return _local_folders[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from longfeat.functions.joins import salted_join, spread_left_join
 from longfeat.operators import dayfacts, doses, indicators, measures, mentions, vocabulary
 from longfeat.operators.measures import Bound
 from workload import naive
@@ -111,3 +112,26 @@ def test_literal_registry_merge_differs_only_in_nulls_and_duplicates(rows):
     ddl = "set_name string, indicator string, domain string"
     a, b = rows([("x", "X", "drug"), ("y", "Y", "drug")], ddl), rows([("y", "Y", "drug")], ddl)
     same(vocabulary.merge_registries(a, b), vocabulary.merge_registries(a, b, literal=True))
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_equals_join(rows, how):
+    r = random.Random(7)
+    big = rows([(person(r), i) for i in range(200)] + [(None, 1)], "k bigint, i bigint")
+    small = rows([(k, k * 10) for k in range(1, 9)], "k bigint, v bigint")
+    same(salted_join(big, small, ["k"], how, ["i"]), big.join(small, "k", how))
+
+
+def test_spread_left_join_equals_left_join(rows):
+    r = random.Random(8)
+    left = rows([(k,) for k in range(0, 15)] + [(1,), (None,)], "k bigint")
+    big = rows([(person(r), i) for i in range(200)] + [(None, 1)], "k bigint, i bigint")
+    same(spread_left_join(left, big, ["k"], ["i"]), left.join(big, "k", "left"))
+
+
+def test_hot_key_is_shared_by_all_salts(spark):
+    from longfeat.functions.joins import SALTS, salt_of
+
+    hot = spark.range(16_000).withColumn("k", F.lit(1))
+    sizes = [x["count"] for x in hot.groupBy(salt_of(["id"]).alias("salt")).count().collect()]
+    assert len(sizes) == SALTS and max(sizes) < 1.3 * 16_000 / SALTS

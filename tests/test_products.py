@@ -1,6 +1,7 @@
 """Tables on disk to predictions, with the default configuration."""
 
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -112,4 +113,10 @@ def test_windows_split_and_subsets(product):
 
 
 def test_shared_folder_comes_from_the_session(spark):
-    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    own = shared_dir(spark)
+    assert own == shared_dir(spark)
+    context = SimpleNamespace(master="yarn", applicationId="x", getConf=lambda: {})
+    named = SimpleNamespace(conf={"spark.checkpoint.dir": "hdfs:///shared/"}, sparkContext=context)
+    assert shared_dir(named) == "hdfs:///shared"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf={}, sparkContext=context))
