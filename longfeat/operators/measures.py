@@ -101,6 +101,6 @@ def measure_days(
     if roles is not None:
         days = body_index(days, body)
     if attributes:
-        people = cohort.select("person_id", *[c.alias(n) for n, c in attributes.items()]).distinct()
+        people = cohort.groupBy("person_id").agg(*[F.max(c).alias(n) for n, c in attributes.items()])
         days = days.join(people, "person_id")
     return days

@@ -134,14 +134,20 @@ def topk_day_matrix(
     page: int = 0,
     lookback: int = LOOKBACK_DAYS,
     sparse: bool = False,
+    need_first: bool = False,
 ) -> DataFrame:
     """Person-day x concept page within the lookback, with the person's outcome.
 
-    Persons of the outcome table without a usable dated row drop out. ``sparse`` gives (person_id, day, feature,
+    Persons of the outcome table without a usable dated row drop out; with ``need_first`` so do those without a chosen
+    concept in the first domain (left-joining the domains in turn leaves them an undated row). ``sparse`` gives (person_id, day, feature,
     outcome) of the cells that are 1 instead of columns.
     """
     recent = recent_events(domains, lookback)
     labelled = outcome.select("person_id", "outcome").distinct()
+    if need_first:
+        first = recent.where(F.col("domain") == next(iter(domains)))
+        held = cells_of(first, ["person_id"], k, page).select("person_id").distinct()
+        labelled = labelled.join(held, "person_id", "left_semi")
     if sparse:
         return cells_of(recent, DAY_KEY, k, page).join(labelled, "person_id")
     chosen = chosen_features(recent, list(domains), k, page)

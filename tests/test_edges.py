@@ -254,6 +254,31 @@ def test_topk_ties_nulls_and_absent_persons(rows, table):
     assert table(topk.topk_cells({"con": a}, 1, page=1)) == [("1", "con7")]
 
 
+def test_day_matrix_pages_lookback_and_first_domain(rows, table):
+    ddl = "person_id bigint, day date, concept_id bigint"
+    a = rows([(1, "2020-01-10", 5), (1, "2020-01-01", 5), (1, None, 5), (3, "2020-01-10", 5)], ddl)
+    b = rows([(1, "2020-01-11", 8), (2, "2020-01-03", 8), (2, "2020-01-03", 9)], ddl)
+    outcome = rows([(1, 1), (2, 0), (4, 1)], "person_id bigint, outcome int")
+    got = topk.topk_day_matrix({"pro": a, "con": b}, outcome, k=1, lookback=10)
+    assert got.columns == ["person_id", "day", "outcome", "pro5", "con8"]
+    assert table(got) == [
+        ("1", "2020-01-10", "1", "1", "0"), ("1", "2020-01-11", "1", "0", "1"), ("2", "2020-01-03", "0", "0", "1")
+    ]
+    second = topk.topk_day_matrix({"pro": a, "con": b}, outcome, k=1, page=1, lookback=10, sparse=True)
+    assert table(second, "person_id", "feature") == [("2", "con9")]
+    need = topk.topk_day_matrix({"pro": a, "con": b}, outcome, k=1, lookback=10, need_first=True)
+    assert table(need.select("person_id").distinct()) == [("1",)]
+
+
+def test_attribute_flags(rows, table):
+    data = [(1, "2020-01-01", 1, 1.0, None), (2, "2020-01-01", 1, 1.0, None), (3, "2020-01-01", 1, 1.0, None)]
+    people = rows([(1, "F"), (1, "F"), (2, "M")], "person_id bigint, sex string")
+    ms = rows(data, MEASURE_DDL)
+    female = F.when(F.col("sex") == "F", 1).otherwise(0)
+    got = measures.measure_days(ms, people, [Bound("x", (1,), 0, 2)], attributes={"female": female})
+    assert table(got, "person_id", "x", "female") == [("1", "1.0", "1"), ("2", "1.0", "0")]
+
+
 def test_id_text_drops_the_decimal_tail(rows):
     df = rows([(123.0, 5)], "a double, b bigint")
     assert tuple(df.select(id_text(F.col("a")), id_text(F.col("b"))).first()) == ("123", "5")
