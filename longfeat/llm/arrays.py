@@ -20,6 +20,7 @@ WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_OTHER = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BASE = int(_rng.integers(2**40, 2**62)) * 8 + 5
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
@@ -107,12 +108,12 @@ def lines(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, stops, firsts
 
 
-def fingerprints(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, by one running polynomial over all bytes."""
+def fingerprints(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
+    """A 64-bit hash of each byte range, by one running polynomial over all bytes; another table, another hash."""
     if not len(starts):
         return np.zeros(0, U64)
     running = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=running[1:])
+    np.cumsum(table[data] * _power(_BASE, len(data)), out=running[1:])
     value = (running[stops] - running[starts]) * _power(_BASE_INVERSE, len(data) + 1)[starts]
     return mix(value + (stops - starts).astype(U64) * U64(0x9E3779B97F4A7C15))
 

@@ -170,8 +170,8 @@ def language_histograms(docs: DataFrame, least_docs: int = 100) -> DataFrame:
 
 def judge(
     docs: DataFrame,
-    most_class_distance: float = 0.35,
-    most_word_distance: float = 0.75,
+    most_class_distance: float = 0.3,
+    most_word_distance: float = 0.55,
     least_chars: int = 200,
     least_words: int = 50,
     least_docs: int = 100,

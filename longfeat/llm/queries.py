@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longfeat.llm import counting, linededup, packing, quality, tokenfile
+from longfeat.llm import counting, linededup, lpf, packing, quality, rlz, tokenfile
 from longfeat.sources.storage import fresh_path
 
 
@@ -15,7 +17,16 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def reach(spark: SparkSession) -> None:
+    """Let Python workers import this package where it is not installed but the folder is at the same place."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    reach(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
@@ -25,6 +36,11 @@ def op1_distribution_divergence(spark: SparkSession, root: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", "class_distance", "word_distance")
 
 
+def op2_relative_lempel_ziv(spark: SparkSession, root: str) -> DataFrame:
+    found = rlz.dedup_words(table(spark, root, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("n_symbols").alias("n_words"), "n_removed", "kept_sha256", "n_spans")
+
+
 def op3_elias_fano_tokens(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents").select("doc_id", "text")
     folder = fresh_path(spark, "tokens")
@@ -44,6 +60,11 @@ def op6_online_packing(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(docs, tokenizer("word_bpe_49k.json"), size=2048, end_id=1)
 
 
+def op8_longest_previous_factor(spark: SparkSession, root: str) -> DataFrame:
+    found = lpf.dedup_bytes(table(spark, root, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("n_symbols").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_rank_synchronous_counts(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents").select("doc_id", "text")
     return counting.token_counts(docs, tokenizer("piece_bpe_32k.model"), limit=4096)
@@ -53,9 +74,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_distribution_divergence,
+        op2_relative_lempel_ziv,
         op3_elias_fano_tokens,
         op5_line_dedup,
         op6_online_packing,
+        op8_longest_previous_factor,
         op9_rank_synchronous_counts,
     )
 }
