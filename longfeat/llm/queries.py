@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longfeat.llm import counting, linededup, lpf, packing, quality, rlz, tokenfile
+from longfeat.llm import counting, jaccard, linededup, lpf, packing, quality, rlz, tokenfile
 from longfeat.sources.storage import fresh_path
 
 
@@ -70,6 +70,11 @@ def op9_rank_synchronous_counts(spark: SparkSession, root: str) -> DataFrame:
     return counting.token_counts(docs, tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op10_parity_sketch_join(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    return jaccard.near_duplicates(docs, jaccard.Rule(words=3, percent=90))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,5 +85,6 @@ QUERIES = {
         op6_online_packing,
         op8_longest_previous_factor,
         op9_rank_synchronous_counts,
+        op10_parity_sketch_join,
     )
 }
