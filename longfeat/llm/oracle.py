@@ -1,3 +1,84 @@
 """DuckDB twins of the training-data queries where SQL expresses them."""
 
-ORACLE: dict[str, str] = {}
+WHITE = r"[\x20\x09-\x0D]"
+
+#: Conversations as lists of their turns, each turn the sorted list of its rows.
+SNAPSHOTS = """
+WITH turns AS (
+  SELECT conv_id, turn, list_sort(list({'role': role, 'text': text})) AS said
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL
+), whole AS (
+  SELECT conv_id, list({'turn': turn, 'said': said} ORDER BY turn NULLS FIRST) AS all_turns FROM turns GROUP BY conv_id
+), retained AS (
+  SELECT conv_id FROM whole x WHERE NOT EXISTS (
+    SELECT 1 FROM whole y
+    WHERE y.all_turns[1] IS NOT DISTINCT FROM x.all_turns[1] AND y.conv_id <> x.conv_id
+      AND y.all_turns[1:len(x.all_turns)] = x.all_turns
+      AND (len(y.all_turns) > len(x.all_turns) OR y.conv_id < x.conv_id)
+  )
+)
+SELECT conv_id, turn, role, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered
+FROM conversations WHERE conv_id IN (SELECT conv_id FROM retained)
+"""
+
+LINES = rf"""
+WITH rows AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (
+  SELECT row, doc_id, place, line,
+    translate(regexp_replace(regexp_replace(line, '^{WHITE}+', ''), '{WHITE}+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT row, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM rows)
+),
+first AS (
+  SELECT key, min(doc_id) AS first FROM lines WHERE length(key) >= 10 AND doc_id IS NOT NULL GROUP BY key HAVING min(doc_id) < max(doc_id)
+),
+judged AS (SELECT l.*, coalesce(l.doc_id > f.first, false) AS gone FROM lines l LEFT JOIN first f USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY row
+"""
+
+#: The distinct strings of 50 words, and the words under those that start earlier too.
+WORD_WINDOWS = rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs WHERE len(w) >= 50)
+),
+late AS (SELECT w.doc_id, w.i FROM windows w JOIN (SELECT k, min(doc_id) AS first FROM windows GROUP BY k) f USING (k) WHERE w.doc_id > f.first),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM late),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs),
+kept AS (
+  SELECT x.doc_id, count(c.p) AS n_removed, string_agg(x.word, ' ' ORDER BY x.p) FILTER (WHERE c.p IS NULL) AS text,
+    count(*) FILTER (WHERE c.p IS NOT NULL AND b.p IS NULL) AS n_spans
+  FROM words x LEFT JOIN covered c ON c.doc_id = x.doc_id AND c.p = x.p LEFT JOIN covered b ON b.doc_id = x.doc_id AND b.p = x.p - 1
+  GROUP BY x.doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256,
+  coalesce(n_spans, 0) AS n_spans
+FROM docs d LEFT JOIN kept k USING (doc_id)
+"""
+
+SHINGLES = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM docs WHERE len(w) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)
+),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM docs UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m.component_id
+FROM docs d LEFT JOIN sizes USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) m USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {
+    "op2_relative_lempel_ziv": WORD_WINDOWS,
+    "op4_snapshot_collapse": SNAPSHOTS,
+    "op5_line_dedup": LINES,
+    "op10_parity_sketch_join": SHINGLES,
+}

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longfeat.llm import counting, jaccard, linededup, lpf, packing, quality, rlz, tokenfile
+from longfeat.llm import chat, counting, decontaminate, jaccard, linededup, lpf, packing, quality, rlz, tokenfile
 from longfeat.sources.storage import fresh_path
 
 
@@ -48,6 +48,10 @@ def op3_elias_fano_tokens(spark: SparkSession, root: str) -> DataFrame:
     return tokenfile.read_token_files(spark, folder)
 
 
+def op4_snapshot_collapse(spark: SparkSession, root: str) -> DataFrame:
+    return chat.render(chat.collapse(table(spark, root, "conversations").select("conv_id", "turn", "role", "text")))
+
+
 def op5_line_dedup(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents").select("doc_id", "text")
     return linededup.drop_shared_lines(docs, least=10, most_docs=1).select(
@@ -60,6 +64,10 @@ def op6_online_packing(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(docs, tokenizer("word_bpe_49k.json"), size=2048, end_id=1)
 
 
+def op7_block_max_wand(spark: SparkSession, root: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
 def op8_longest_previous_factor(spark: SparkSession, root: str) -> DataFrame:
     found = lpf.dedup_bytes(table(spark, root, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.col("n_symbols").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
@@ -81,8 +89,10 @@ QUERIES = {
         op1_distribution_divergence,
         op2_relative_lempel_ziv,
         op3_elias_fano_tokens,
+        op4_snapshot_collapse,
         op5_line_dedup,
         op6_online_packing,
+        op7_block_max_wand,
         op8_longest_previous_factor,
         op9_rank_synchronous_counts,
         op10_parity_sketch_join,
