@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from longfeat.llm import arrays
 
-MEMO = 400_000
+MEMO = 900_000
 BATCH = 20_000
 #: Longer pre-tokens would need as many rounds; they are merged by a queue, one at a time.
 LONG = 512
@@ -80,9 +80,9 @@ class PieceCounter:
             else:
                 split.append(data.split(b" "))
         seen = set().union(*split)
-        if len(self.memo) + len(seen - self.memo.keys()) > MEMO:
-            self.memo = {}
-        new = list(seen - self.memo.keys())
+        new = [w for w in seen if w not in self.memo]
+        if len(self.memo) + len(new) > MEMO:
+            self.memo, new = {}, list(seen)
         for i in range(0, len(new), BATCH):
             some = new[i : i + BATCH]
             # A pre-token of the plain split has lost its one space.

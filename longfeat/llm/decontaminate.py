@@ -11,7 +11,7 @@ skipped; in the others units are scored in full. All units at the threshold are
 Verification. The item's question (all but its last line or sentence) and its answer (that last one) must both overlap
 with the text from one segment before to one behind the retrieved passages by word n-grams.
 
-Defined results: words are runs of characters that are neither white space nor ASCII punctuation, A-Z lower-cased; a
+Defined results: words are runs of characters that are neither white space nor ASCII punctuation, lower-cased; a
 null or empty text or item has none and matches nothing; equal items are retrieved each; repeated rows are judged each.
 """
 
@@ -39,13 +39,15 @@ LEAK = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _APART = arrays.WHITE | _PUNCTUATION
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def lowered(text: str | None) -> bytes:
+    return (text or "").lower().encode("utf-8", "surrogatepass")
 
 
 def word_prints(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprints of all words, n + 1 offsets of the texts' words)."""
-    data = _LOWER[np.frombuffer(b"".join(texts), np.uint8)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
     begin, stop = arrays.runs(~_APART[data], ends)
     return arrays.fingerprints(data, begin, stop), np.searchsorted(begin, ends)
@@ -82,7 +84,7 @@ class Index:
 
 
 def build(items: list[tuple[int | None, str | None]]) -> Index:
-    whole = [(t or "").encode("utf-8", "surrogatepass") for _, t in items]
+    whole = [lowered(t) for _, t in items]
     prints, at = word_prints(whole)
     units, unit_item = [], []
     for i in range(len(items)):
@@ -184,7 +186,7 @@ def _flagger(index: Index, keep: list[str], threshold: float, least: float, gram
         for batch in batches:
             text = batch.column("text")
             for lo, hi in arrays.slices(text):
-                texts = [t or b"" for t in text[lo:hi].cast(pa.binary()).to_pylist()]
+                texts = [lowered(t) for t in text[lo:hi].to_pylist()]
                 prints, at = word_prints(texts)
                 hits: dict[int, list] = {}
                 for t, passage, unit, score in retrieve(index, prints, at, threshold):

@@ -170,10 +170,10 @@ def language_histograms(docs: DataFrame, least_docs: int = 100) -> DataFrame:
 
 def judge(
     docs: DataFrame,
-    most_class_distance: float = 0.3,
-    most_word_distance: float = 0.55,
-    least_chars: int = 200,
-    least_words: int = 50,
+    most_class_distance: float = 0.32,
+    most_word_distance: float = 0.3,
+    least_chars: int = 300,
+    least_words: int = 150,
     least_docs: int = 100,
 ) -> DataFrame:
     """The documents with the base counts, ``base_failed``, both distances (null where a guard holds) and ``kept``.

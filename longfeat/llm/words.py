@@ -12,8 +12,10 @@ from collections.abc import Iterable
 
 import numpy as np
 
-MEMO = 300_000
+MEMO = 900_000
 CALL_WORDS = 500
+PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+LETTERS = frozenset(bytes([c]) for c in range(256) if chr(c).isalpha() and c < 128)
 
 
 class WordEncoder:
@@ -49,13 +51,23 @@ class WordEncoder:
         return [b"".join(map(get, parts)) for parts in split]
 
     def _learn(self, seen: set[bytes]) -> None:
-        if len(self.memo) + len(seen - self.memo.keys()) > MEMO:
-            self.memo = {}
-        new = seen - self.memo.keys()
-        apart = [w for w in new if any(s.encode() in w for s in self.special)]
-        plain = list(new.difference(apart))
-        for w in apart:
-            self.memo[w] = self._alone(w)
+        new = [w for w in seen if w not in self.memo]
+        if len(self.memo) + len(new) > MEMO:
+            self.memo, new = {}, list(seen)
+        apart = [w for w in new if b"<|" in w]
+        self.memo.update((w, self._alone(w)) for w in apart)
+        # Letters and the punctuation behind them are separate pre-tokens: "word," is "word" and ",".
+        composed, plain = [], set()
+        for w in new:
+            head = w.rstrip(PUNCTUATION)
+            if b"<|" in w:
+                continue
+            if head[-1:] in LETTERS and len(head) < len(w):
+                composed.append((w, head, w[len(head) :]))
+                plain.update(composed[-1][1:])
+            else:
+                plain.add(w)
+        plain = [w for w in plain if w not in self.memo]
         for i in range(0, len(plain), CALL_WORDS):
             some = plain[i : i + CALL_WORDS]
             joined = self.between.join(w.decode("utf-8", "surrogatepass") for w in some)
@@ -70,6 +82,7 @@ class WordEncoder:
             for w, end in zip(some, ends, strict=True):
                 self.memo[w] = data[4 * at : 4 * end]
                 at = end + 1
+        self.memo.update((w, self.memo[head] + self.memo[tail]) for w, head, tail in composed)
 
     def _alone(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "surrogatepass")
