@@ -4,7 +4,7 @@
    anchors, so only pieces of one anchor need be compared.
 2. Documents are hashed into blocks. A block sends, for each distinct (anchor, piece) in it, short hashes and its
    smallest document to the anchor's bucket; buckets answer with one status byte each. That settles every piece that
-   stands unchanged in an earlier document (by 94 bits of hashes) and every anchor that only one document has.
+   stands unchanged in an earlier document (by 80 bits of hashes or more) and every anchor that only one document has.
 3. Pieces that differ from others of their anchor are *contested*: their texts go to their anchor, where the operator's
    own method compares them. An anchor with very many different pieces is *hot*: its windows are exploded, combined
    before the shuffle and joined, so no group of unbounded size meets in a task.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from longfeat.llm import arrays
-from longfeat.sources.storage import materialize
+from longfeat.sources.storage import fresh_path
 
 BLOCK_BYTES = 4 << 20
 BATCH_BYTES = 1 << 20
@@ -120,13 +120,29 @@ def some(texts: list[bytes], limit: int = arrays.SLICE_BYTES) -> Iterator[tuple[
         yield lo, len(texts)
 
 
-def entries(anchor: np.ndarray, phrase: np.ndarray, doc: np.ndarray, bits: int, most: int) -> dict[str, np.ndarray]:
+@dataclass(frozen=True)
+class Shape:
+    """2**bits buckets; bytes of an anchor's hash that are sent besides its bucket, and of a piece's hash."""
+
+    bits: int
+    key: int
+    value: int = 5
+
+    @classmethod
+    def of(cls, total: int, block_bytes: int) -> Shape:
+        """Anchors take 10 bits more than the text has bytes, so chance meetings stay below one in a thousand."""
+        bits = (total // block_bytes).bit_length()
+        return cls(bits, max(4, -(-(total.bit_length() + 10 - bits) // 8)))
+
+
+def entries(anchor: np.ndarray, phrase: np.ndarray, doc: np.ndarray, shape: Shape, most: int) -> dict[str, np.ndarray]:
     """The distinct (anchor, phrase) of a block in a fixed order, with their smallest document.
 
     ``which`` maps pieces to entries, ``sent`` marks the ones that go to buckets (of a hot anchor only the first few).
     """
-    key, value = anchor >> np.uint64(bits) & np.uint64((1 << 40) - 1), phrase & np.uint64((1 << 47) - 1)
-    bucket = (anchor & np.uint64((1 << bits) - 1)).astype(np.int64)
+    key = anchor >> np.uint64(shape.bits) & np.uint64((1 << 8 * shape.key) - 1)
+    value = phrase & np.uint64((1 << 8 * shape.value - 1) - 1)
+    bucket = (anchor & np.uint64((1 << shape.bits) - 1)).astype(np.int64)
     order = np.lexsort((doc, value, key, bucket))
     b, k, v, d = bucket[order], key[order], value[order], doc[order]
     new_anchor = np.ones(len(k), bool)
@@ -142,17 +158,17 @@ def entries(anchor: np.ndarray, phrase: np.ndarray, doc: np.ndarray, bits: int,
     return {"bucket": b[at], "key": k[at], "value": v[at], "doc": d[at], "which": which, "many": many, "sent": ~many | (rank < most)}
 
 
-def pack_entries(e: dict[str, np.ndarray], at: np.ndarray, least: int) -> bytes:
-    """key (5 bytes), phrase and flag (6), document less the block's smallest (4 or 8)."""
-    value = e["value"][at] | e["many"][at].astype(np.uint64) << np.uint64(47)
+def pack_entries(e: dict[str, np.ndarray], at: np.ndarray, least: int, shape: Shape) -> bytes:
+    """Anchor, piece with a flag in its top bit, document less the block's smallest; each in as few bytes as it takes."""
+    value = e["value"][at] | e["many"][at].astype(np.uint64) << np.uint64(8 * shape.value - 1)
     delta = (e["doc"][at] - least).astype(np.uint64)
-    width = 4 if not len(delta) or int(delta.max()) < 1 << 32 else 8
-    parts = [(e["key"][at], 5), (value, 6), (delta, width)]
+    width = max(1, -(-int(delta.max()).bit_length() // 8)) if len(delta) else 1
+    parts = [(e["key"][at], shape.key), (value, shape.value), (delta, width)]
     columns = [x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n] for x, n in parts]
     return np.int64(least).tobytes() + np.concatenate(columns, axis=1).tobytes()
 
 
-def read_entries(payload: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def read_entries(payload: bytes, n: int, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     rows = np.frombuffer(payload, np.uint8, offset=8).reshape(n, -1)
 
     def number(a: int, b: int) -> np.ndarray:
@@ -160,15 +176,16 @@ def read_entries(payload: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.nda
         wide[:, : b - a] = rows[:, a:b]
         return wide.view("<u8").ravel()
 
-    value = number(5, 11)
-    doc = number(11, rows.shape[1]).astype(np.int64) + np.frombuffer(payload, "<i8", 1)[0]
-    return number(0, 5), value & np.uint64((1 << 47) - 1), doc, value >> np.uint64(47) > 0
+    flag, split = np.uint64(8 * shape.value - 1), shape.key + shape.value
+    value = number(shape.key, split)
+    doc = number(split, rows.shape[1]).astype(np.int64) + np.frombuffer(payload, "<i8", 1)[0]
+    return number(0, shape.key), value & ((np.uint64(1) << flag) - np.uint64(1)), doc, value >> flag > 0
 
 
 class Block:
     """The texts of one block with their pieces' entries; made alike by both passes over it."""
 
-    def __init__(self, table: pa.Table, unit: Unit, bits: int) -> None:
+    def __init__(self, table: pa.Table, unit: Unit, shape: Shape) -> None:
         self.unit = unit
         self.doc = table.column("doc").to_pylist()
         self.h = table.column("h").to_pylist()
@@ -185,34 +202,34 @@ class Block:
         empty = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
         self.text, self.start, self.count, self.anchor, self.phrase = map(np.concatenate, zip(*parts, empty, strict=True))
         self.docs = doc[self.text]
-        self.entries = entries(self.anchor, self.phrase, self.docs, bits, unit.many_in_block)
+        self.entries = entries(self.anchor, self.phrase, self.docs, shape, unit.many_in_block)
 
 
-def index(unit: Unit, bits: int) -> Callable[[pa.Table], pa.Table]:
+def index(unit: Unit, shape: Shape) -> Callable[[pa.Table], pa.Table]:
     """A block's entries, a row for each bucket."""
 
     def send(table: pa.Table) -> pa.Table:
-        e = Block(table, unit, bits).entries
+        e = Block(table, unit, shape).entries
         at = np.flatnonzero(e["sent"])
         bucket = e["bucket"][at]
         begin = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(at) else at
         stop = np.append(begin[1:], len(at)) if len(at) else at
         least = int(e["doc"].min()) if len(at) else 0
-        payload = [pack_entries(e, at[a:b], least) for a, b in zip(begin, stop, strict=True)]
+        payload = [pack_entries(e, at[a:b], least, shape) for a, b in zip(begin, stop, strict=True)]
         block = pa.array([table.column("block")[0].as_py()] * len(begin), pa.int64())
         return pa.table([pa.array(bucket[begin], pa.int64()), block, pa.array(stop - begin, pa.int32()), pa.array(payload, pa.binary())], ["bucket", "block", "n", "payload"])
 
     return send
 
 
-def answer(unit: Unit) -> Callable[[pa.Table], pa.Table]:
+def answer(unit: Unit, shape: Shape) -> Callable[[pa.Table], pa.Table]:
     """A bucket's statuses, a row of them for each block that asked."""
-    return lambda table: statuses(table, unit.many)
+    return lambda table: statuses(table, shape, unit.many)
 
 
-def statuses(table: pa.Table, most: int) -> pa.Table:
+def statuses(table: pa.Table, shape: Shape, most: int) -> pa.Table:
     n = table.column("n").to_pylist()
-    got = [read_entries(p, m) for p, m in zip(table.column("payload").to_pylist(), n, strict=True)]
+    got = [read_entries(p, m, shape) for p, m in zip(table.column("payload").to_pylist(), n, strict=True)]
     key, value, doc, many = map(np.concatenate, zip(*got, strict=True))
     order = np.lexsort((doc, value, key))
     k, v, d = key[order], value[order], doc[order]
@@ -250,12 +267,12 @@ def merged(spans: np.ndarray) -> Spans:
     return list(zip(spans[at, 0].tolist(), reach[np.append(at[1:], len(spans)) - 1].tolist(), strict=True))
 
 
-def settle(unit: Unit, bits: int, with_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def settle(unit: Unit, shape: Shape, with_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Of a block and its answers: finished documents, open ones, contested pieces and windows of hot anchors."""
 
     def states(docs: pa.Table, replies: pa.Table) -> pa.Table:
         names = [c.split()[0] for c in STATES.split(", ")]
-        block = Block(docs, unit, bits)
+        block = Block(docs, unit, shape)
         e = block.entries
         status = np.where(e["sent"], UNIQUE, HOT).astype(np.uint8)
         asked = np.flatnonzero(e["sent"])
@@ -362,14 +379,16 @@ def remove_repeats(
     """doc_id, n_symbols, n_removed, n_spans, kept_sha256 and, if asked for, ``kept``: a row for each input row."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, total // block_bytes)
-    bits = max(0, (total // block_bytes)).bit_length()
+    shape = Shape.of(total, block_bytes)
     doc = F.col("doc_id").cast("long").alias("doc")
     keyed = docs.select(doc, F.xxhash64("text").alias("h"), "text")
     keyed = keyed.select(F.pmod(F.xxhash64("doc", "h"), F.lit(n_blocks)).alias("block"), "doc", "h", "text")
-    sent = keyed.groupBy("block").applyInArrow(index(unit, bits), "bucket long, block long, n int, payload binary")
-    replies = sent.groupBy("bucket").applyInArrow(answer(unit), "bucket long, block long, payload binary")
-    states = keyed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(settle(unit, bits, with_text), STATES)
-    states = materialize(states, "repeats")
+    sent = keyed.groupBy("block").applyInArrow(index(unit, shape), "bucket long, block long, n int, payload binary")
+    replies = sent.groupBy("bucket").applyInArrow(answer(unit, shape), "bucket long, block long, payload binary")
+    states = keyed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(settle(unit, shape, with_text), STATES)
+    folder = fresh_path(docs.sparkSession, "repeats")
+    states.write.option("compression", "zstd").parquet(folder)
+    states = docs.sparkSession.read.schema(STATES).parquet(folder)
     contested = compare(states.where("kind = 2"), unit, mark)
     found = contested.union(earlier_windows(states.where("kind = 3"), unit.window))
     spans = found.groupBy("doc", "h").agg(F.collect_list(F.struct("a", "b")).alias("found"))
