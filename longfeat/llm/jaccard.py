@@ -8,7 +8,7 @@ the largest partner it can have.
 
 Flow. Equal sets form a class with its smallest document as representative. Blocks of documents send their chunk keys
 to buckets, which answer which keys another block has; only keys that two documents share become rows. Each key pairs
-its documents with its smallest one (no pairs within a group), sketches and exact sets are compared, and links are
+its documents with its smallest one (no pairs within a group), 256-bit sketches and then exact sets are compared, and links are
 joined to components. Where a key's documents still fall into several components, the pairs across components are
 compared too, after three bounds: sizes, distance to the key's smallest document (triangle inequality), and the Hamming
 distance of 256-bit sketches. So no link is lost.
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longfeat.llm import arrays
@@ -36,8 +36,9 @@ from longfeat.sources.storage import materialize
 U64 = np.uint64
 BLOCK_BYTES = 4 << 20
 WIDE = 4  # 64-bit words of the sketch that leftover pairs are compared by
+SKETCH = ["n", *(f"w{i}" for i in range(WIDE))]
 SIGNS = "doc long, h long, n long, s1 long, s2 long"
-FOUND = "kind byte, doc long, n long, key long, w0 long, w1 long, w2 long, w3 long, body binary"
+FOUND = "kind byte, doc long, n long, key long, w0 long, w1 long, w2 long, w3 long"
 
 
 @dataclass(frozen=True)
@@ -184,7 +185,7 @@ def answer(table: pa.Table) -> pa.Table:
 
 
 def settle(rule: Rule, bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Of a block, its answers and its representatives: rows (key, document) of shared keys, and those documents' sets."""
+    """Of a block, its answers and its representatives: rows (key, document) of shared keys, those documents' sketches."""
 
     def found(docs: pa.Table, notes: pa.Table) -> pa.Table:
         notes = notes.to_pylist()
@@ -204,16 +205,46 @@ def settle(rule: Rule, bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         rep = np.array([(d, x) in chosen for d, x in zip(ids, h, strict=True)], bool)
         pairs = pairs[:, shared[pairs[0]] & rep[pairs[1]]]
         value = known[pairs[0]].view(np.int64).tolist()
-        sketch = {i: wide_sketch(sets[i]) for i in np.unique(pairs[1]).tolist()}
-        rows = [(0, ids[i], len(sets[i]), k, *sketch[i], None) for k, i in zip(value, pairs[1].tolist(), strict=True)]
-        rows += [(1, ids[i], len(sets[i]), *[None] * 5, sets[i].tobytes()) for i in sketch]
-        kinds = [pa.int8(), *[pa.int64()] * 7, pa.binary()]
-        columns = zip(*rows, strict=True) if rows else [[]] * 9
+        rows = [(0, ids[i], len(sets[i]), k, *[None] * WIDE) for k, i in zip(value, pairs[1].tolist(), strict=True)]
+        rows += [(1, ids[i], len(sets[i]), None, *wide_sketch(sets[i])) for i in np.unique(pairs[1]).tolist()]
+        kinds = [pa.int8(), *[pa.int64()] * 7]
+        columns = zip(*rows, strict=True) if rows else [[]] * 8
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
 
     return found
 
 
+def within_sketches(pairs: DataFrame, sketches: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) that sizes and 256-bit sketches leave open."""
+    for end in ("a", "b"):
+        mine = sketches.select(F.col("doc").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in SKETCH))
+        pairs = pairs.join(mine, end)
+    return pairs.where(open_pair("a", "b", rule))
+
+
+def open_pair(a: str, b: str, rule: Rule) -> Column:
+    n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
+    differ = sum(F.bit_count(F.col(f"{a}_w{i}").bitwiseXOR(F.col(f"{b}_w{i}"))) for i in range(WIDE))
+    return (100 * F.least(n, m) >= rule.percent * F.greatest(n, m)) & (differ <= most_apart(n + m, rule))
+
+
+def most_apart(both: Column, rule: Rule) -> Column:
+    return F.floor(both * (100 - rule.percent) / (100 + rule.percent))
+
+
+def sets_of(pairs: DataFrame, classes: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """(doc, body): the sets of the documents in the pairs, made again from the representatives' texts."""
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    ids = materialize(ids.join(classes, "rep").select(F.col("rep").alias("doc"), F.col("rep_h").alias("h")), "ids")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = shingle_sets([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], rule.words)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([x.tobytes() for x in got], pa.binary())], ["doc", "body"])
+
+    return texts.join(ids, ["doc", "h"]).select("doc", "text").mapInArrow(make, "doc long, body binary")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(a, b, apart, linked) of the pairs (a, b), from their exact sets."""
     one = sets.select(F.col("doc").alias("a"), F.col("body").alias("left"))
@@ -232,7 +263,7 @@ def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["a", "b", "apart", "linked"])
 
     joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "left", "right")
-    return joined.mapInArrow(compare, "a long, b long, apart long, linked boolean")
+    return joined.mapInArrow(compare, "a long, b long, apart long, linked boolean").distinct()
 
 
 def near_duplicates(docs: DataFrame, rule: Rule, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -257,24 +288,23 @@ def near_duplicates(docs: DataFrame, rule: Rule, block_bytes: int = BLOCK_BYTES)
     notes = chosen.unionByName(replies.withColumns({"doc": none.cast("long"), "h": none.cast("long")}))
     found = blocks.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(settle(rule, bits), FOUND)
     found = materialize(found, "sketches")
-    keys, sets = found.where("kind = 0"), found.where("kind = 1").select("doc", "body")
+    keys, sketches = found.where("kind = 0").select("key", "doc"), found.where("kind = 1").select("doc", *SKETCH)
 
-    hubs = keys.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("last"), F.min_by("n", "doc").alias("hub_n"))
-    hubs = hubs.where("hub < last").drop("last")
-    with_hub = keys.join(hubs, "key")
-    fits = lambda a, b: (100 * F.least(a, b) >= rule.percent * F.greatest(a, b))
-    near_hub = with_hub.where((F.col("doc") > F.col("hub")) & fits(F.col("n"), F.col("hub_n")))
-    pairs = near_hub.select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
-    compared = materialize(verify(pairs, sets, rule), "compared")
+    hubs = keys.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub < last").drop("last")
+    with_hub = keys.join(hubs, "key").where("doc > hub").select(F.col("doc").alias("a"), F.col("hub").alias("b"))
+    pairs = materialize(within_sketches(with_hub.distinct(), sketches, rule).select("a", "b"), "pairs")
+    compared = materialize(verify(pairs, sets_of(pairs, classes, keyed, rule), rule), "compared")
 
     same_id = signs.join(classes, ["s1", "s2", "n"]).groupBy("doc").agg(F.min("rep").alias("b"), F.max("rep").alias("a"))
     links = compared.where("linked").select("a", "b").union(same_id.where("b < a").select("a", "b"))
     links = materialize(links.where("a <> b"), "links")
     labels = components(links, "a", "b")
 
-    left = leftover(keys, hubs, compared, labels, rule)
-    more = materialize(verify(left, sets, rule).where("linked").select("a", "b"), "more")
-    if not more.isEmpty():
+    left = materialize(leftover(keys, sketches, hubs, compared, labels, rule), "leftover")
+    more = None
+    if not left.isEmpty():
+        more = materialize(verify(left, sets_of(left, classes, keyed, rule), rule).where("linked").select("a", "b"), "more")
+    if more and not more.isEmpty():
         labels = components(links.union(more), "a", "b")
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
@@ -283,22 +313,22 @@ def near_duplicates(docs: DataFrame, rule: Rule, block_bytes: int = BLOCK_BYTES)
     return joined.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def leftover(keys: DataFrame, hubs: DataFrame, compared: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
+def leftover(
+    keys: DataFrame, sketches: DataFrame, hubs: DataFrame, compared: DataFrame, labels: DataFrame, rule: Rule
+) -> DataFrame:
     """Pairs (a, b) of one key in different components that the bounds leave open and that were not compared yet."""
     labelled = keys.join(labels.withColumnRenamed("node", "doc"), "doc", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "doc"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    mixed = mixed.where("least < most").select("key").join(hubs.select("key", "hub"), "key")
+    mixed = mixed.where("least < most").select("key").join(hubs, "key")
     apart = compared.select(F.col("a").alias("doc"), F.col("b").alias("hub"), "apart")
-    rows = labelled.join(mixed, "key").join(apart, ["doc", "hub"], "left")
+    rows = labelled.join(mixed, "key").join(sketches, "doc").join(apart, ["doc", "hub"], "left")
     rows = rows.withColumn("apart", F.when(F.col("doc") == F.col("hub"), F.lit(0)).otherwise(F.col("apart")))
-    columns = ["doc", "n", "component", "apart", *(f"w{i}" for i in range(WIDE))]
+    columns = ["doc", "component", "apart", *SKETCH]
     x = rows.select("key", *(F.col(c).alias(f"x_{c}") for c in columns))
     y = rows.select("key", *(F.col(c).alias(f"y_{c}") for c in columns))
-    most = F.floor((F.col("x_n") + F.col("y_n")) * (100 - rule.percent) / (100 + rule.percent))
-    hamming = sum(F.bit_count(F.col(f"x_w{i}").bitwiseXOR(F.col(f"y_w{i}"))) for i in range(WIDE))
-    open_pair = (F.col("x_doc") > F.col("y_doc")) & (F.col("x_component") != F.col("y_component"))
-    open_pair &= 100 * F.least("x_n", "y_n") >= rule.percent * F.greatest("x_n", "y_n")
-    open_pair &= F.coalesce(F.abs(F.col("x_apart") - F.col("y_apart")) <= most, F.lit(True)) & (hamming <= most)
-    pairs = x.join(y, "key").where(open_pair).select(F.col("x_doc").alias("a"), F.col("y_doc").alias("b")).distinct()
+    most = most_apart(F.col("x_n") + F.col("y_n"), rule)
+    wanted = (F.col("x_doc") > F.col("y_doc")) & (F.col("x_component") != F.col("y_component")) & open_pair("x", "y", rule)
+    wanted &= F.coalesce(F.abs(F.col("x_apart") - F.col("y_apart")) <= most, F.lit(True))
+    pairs = x.join(y, "key").where(wanted).select(F.col("x_doc").alias("a"), F.col("y_doc").alias("b")).distinct()
     return pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
