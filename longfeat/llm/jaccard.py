@@ -35,6 +35,7 @@ from longfeat.sources.storage import materialize
 
 U64 = np.uint64
 BLOCK_BYTES = 4 << 20
+BROADCAST_IDS = 1_000_000
 WIDE = 4  # 64-bit words of the sketch that leftover pairs are compared by
 SKETCH = ["n", *(f"w{i}" for i in range(WIDE))]
 SIGNS = "doc long, h long, n long, s1 long, s2 long"
@@ -233,7 +234,10 @@ def most_apart(both: Column, rule: Rule) -> Column:
 
 
 def sets_of(pairs: DataFrame, classes: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """(doc, body): the sets of the documents in the pairs, made again from the representatives' texts."""
+    """(doc, body): the sets of the documents in the pairs, made again from the representatives' texts.
+
+    Up to ``BROADCAST_IDS`` documents (16 bytes each) are broadcast, so that no text is shuffled; more are joined.
+    """
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     ids = materialize(ids.join(classes, "rep").select(F.col("rep").alias("doc"), F.col("rep_h").alias("h")), "ids")
 
@@ -242,6 +246,8 @@ def sets_of(pairs: DataFrame, classes: DataFrame, texts: DataFrame, rule: Rule)
             got = shingle_sets([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], rule.words)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([x.tobytes() for x in got], pa.binary())], ["doc", "body"])
 
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     return texts.join(ids, ["doc", "h"]).select("doc", "text").mapInArrow(make, "doc long, body binary")
 
 
