@@ -149,12 +149,18 @@ def base_failed() -> Column:
 def distance(counts: Column, reference: Column) -> Column:
     """Jensen-Shannon distance (root of the divergence in bits) of two count arrays of equal length; null if one is empty."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    p = F.transform(counts, lambda x: x / total(counts))
-    q = F.transform(reference, lambda x: x / total(reference))
+    # Both totals travel with the arrays through one fold, so that no element sums the array anew.
+    shares = F.zip_with(counts, reference, lambda a, b: F.struct(a.cast("double").alias("a"), b.cast("double").alias("b")))
+    start = F.struct(F.lit(0.0).alias("d"), total(counts).alias("m"), total(reference).alias("n"))
     term = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
-    terms = F.zip_with(p, q, lambda a, b: (term(a, (a + b) / 2) + term(b, (a + b) / 2)) / 2)
-    divergence = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
-    return F.when((total(counts) > 0) & (total(reference) > 0), F.sqrt(F.greatest(divergence, F.lit(0.0))))
+
+    def add(s: Column, x: Column) -> Column:
+        p, q = x["a"] / s["m"], x["b"] / s["n"]
+        more = (term(p, (p + q) / 2) + term(q, (p + q) / 2)) / 2
+        return F.struct((s["d"] + more).alias("d"), s["m"].alias("m"), s["n"].alias("n"))
+
+    root = F.aggregate(shares, start, add, lambda s: F.sqrt(F.greatest(s["d"], F.lit(0.0))))
+    return F.when((total(counts) > 0) & (total(reference) > 0), root)
 
 
 def language_histograms(docs: DataFrame, least_docs: int = 100) -> DataFrame:
