@@ -12,7 +12,7 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,10 +30,11 @@ def matrix_specs(rows: int, width: int) -> dict[str, list[Estimator]]:
     return {
         "lr": [LogisticRegression(**linear)],
         "lr_balanced": [LogisticRegression(**linear, weightCol=WEIGHT)],
-        "rf": [RandomForestClassifier(labelCol="outcome", numTrees=100, featureSubsetStrategy="sqrt", maxDepth=30, seed=1)],
+        "rf": [RandomForestClassifier(labelCol="outcome", numTrees=100, featureSubsetStrategy="sqrt", maxDepth=12, seed=1)],
         "gbt": [GBTClassifier(labelCol="outcome", maxIter=100, maxDepth=3, stepSize=0.1, seed=1)],
         "mlp": [
-            StandardScaler(inputCol="features", outputCol="scaled", withMean=True),
+            # Without the mean, so that a vector of thousands of mostly empty columns stays sparse.
+            StandardScaler(inputCol="features", outputCol="scaled", withMean=False),
             MultilayerPerceptronClassifier(
                 labelCol="outcome", featuresCol="scaled", layers=[width, 20, 10, 2], maxIter=200, seed=1
             ),
@@ -42,7 +43,12 @@ def matrix_specs(rows: int, width: int) -> dict[str, list[Estimator]]:
 
 
 def summary_specs(rows: int) -> dict[str, list[Estimator]]:
-    """Models of the person summary."""
+    """Models of the person summary.
+
+    The forest has 100 trees of depth 12 and boosting 60 rounds of depth 5: Spark grows every level of a tree in a pass
+    over the data and keeps 2 ** depth nodes, so the hundreds of trees of depth 30 and rounds of depth 12 of
+    single-machine defaults would cost thousands of jobs; pass other specs where that is wanted.
+    """
     penalty = 1.0 / rows
     linear = dict(labelCol="outcome", regParam=penalty, elasticNetParam=0.0, standardization=False)
     return {
@@ -50,15 +56,16 @@ def summary_specs(rows: int) -> dict[str, list[Estimator]]:
         "lr_balanced": [LogisticRegression(**linear, maxIter=500, weightCol=WEIGHT)],
         "rf": [
             RandomForestClassifier(
-                labelCol="outcome", numTrees=400, bootstrap=False, featureSubsetStrategy="sqrt", maxDepth=30, seed=1
+                labelCol="outcome", numTrees=100, bootstrap=False, featureSubsetStrategy="sqrt", maxDepth=12, seed=1
             )
         ],
         "gbt": [
             GBTClassifier(
                 labelCol="outcome",
-                maxIter=500,
-                maxDepth=12,
+                maxIter=60,
+                maxDepth=5,
                 stepSize=0.075,
+                minWeightFractionPerNode=0.001,
                 subsamplingRate=0.618,
                 featureSubsetStrategy="log2",
                 seed=1,
@@ -89,33 +96,66 @@ def balance_weights(df: DataFrame, label: str = "outcome") -> DataFrame:
     return df.withColumn(WEIGHT, F.try_divide(sizes["all"].cast("double"), 2 * size))
 
 
+def place_vectors(people: DataFrame, placed: DataFrame, width: int, key: str = "person_id") -> DataFrame:
+    """(key, features): a binary sparse vector per person from (key, place) rows; persons without one get zeros.
+
+    Rows are made distinct before they meet per person, so a person brings ``width`` places at most.
+    """
+    held = placed.distinct().groupBy(key).agg(F.collect_list(F.col("place").cast("string")).alias("held"))
+    none = F.array().cast("array<string>")
+    held = people.select(key).distinct().join(held, key, "left").withColumn("held", F.coalesce("held", none))
+    if width == 0:
+        raise ValueError("a matrix needs a column")
+    to_vector = CountVectorizerModel.from_vocabulary([str(i) for i in range(width)], inputCol="held", outputCol="features")
+    return to_vector.setBinary(True).transform(held).select(key, "features")
+
+
+def cell_vectors(people: DataFrame, cells: DataFrame, names: Sequence[str], key: str = "person_id") -> DataFrame:
+    """Vectors over the columns ``names`` from sparse (key, feature) cells: the alignment of a sparse matrix.
+
+    Cells of other features go, absent ones stay 0. The name table (one row per column) is broadcast.
+    """
+    table = inline(people.sparkSession, [(n, i) for i, n in enumerate(names)], "feature string, place int")
+    return place_vectors(people, cells.join(F.broadcast(table), "feature").select(key, "place"), len(names), key)
+
+
+def fit_vectors(table: DataFrame, specs: Mapping[str, Sequence[Estimator]]) -> dict[str, PipelineModel]:
+    """Fit every spec on the same (features, outcome) rows, which are kept while the fits read them repeatedly."""
+    vectors = balance_weights(table).select("features", "outcome", WEIGHT).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return {name: Pipeline(stages=list(stages)).fit(vectors) for name, stages in specs.items()}
+    finally:
+        vectors.unpersist()
+
+
+def score_vectors(models: Mapping[str, PipelineModel], vectors: DataFrame, key: str = "person_id") -> DataFrame:
+    """(key, one probability of class 1 per model); only the key and the vector travel between the models."""
+    kept = [key, "features"]
+    for name, model in models.items():
+        vectors = model.transform(vectors).withColumn(f"score_{name}", vector_to_array("probability")[1])
+        kept.append(f"score_{name}")
+        vectors = vectors.select(*kept)
+    return vectors.select(key, *[F.col(f"score_{n}").alias(n) for n in models])
+
+
 def fit_models(
     df: DataFrame, features: Sequence[str], label: str, specs: Mapping[str, Sequence[Estimator]]
 ) -> dict[str, PipelineModel]:
-    """Fit every spec on the same vectors; the assembled table is kept while the fits read it repeatedly."""
+    """Fit every spec on the same assembled columns; each model holds the assembler."""
     features = sorted(features)
     assembler = VectorAssembler(inputCols=features, outputCol="features")
     aligned = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features], F.col(label).cast("double").alias("outcome"))
-    weighted = balance_weights(aligned)
-    vectors = assembler.transform(weighted).select("features", "outcome", WEIGHT).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return {
-            name: PipelineModel([assembler, *Pipeline(stages=list(stages)).fit(vectors).stages])
-            for name, stages in specs.items()
-        }
-    finally:
-        vectors.unpersist()
+    fitted = fit_vectors(assembler.transform(aligned).select("features", "outcome"), specs)
+    return {name: PipelineModel([assembler, *model.stages]) for name, model in fitted.items()}
 
 
 def score(models: Mapping[str, PipelineModel], df: DataFrame, key: str = "person_id") -> DataFrame:
-    """(key, one probability of class 1 per model): the models run one after another over the same rows, no join."""
-    inputs = {c for m in models.values() for c in m.stages[0].getInputCols()}
-    scored, kept = align_columns(df, inputs, key), [key, *sorted(inputs)]
-    for name, model in models.items():
-        scored = model.transform(scored).withColumn(f"score_{name}", vector_to_array("probability")[1])
-        kept.append(f"score_{name}")
-        scored = scored.select(*kept)
-    return scored.select(key, *[F.col(f"score_{n}").alias(n) for n in models])
+    """(key, one probability of class 1 per model) from columns: they are aligned and assembled once for all models."""
+    assembler = next(iter(models.values())).stages[0]
+    if any(m.stages[0].getInputCols() != assembler.getInputCols() for m in models.values()):
+        raise ValueError("the models were fitted on different columns")
+    vectors = assembler.transform(align_columns(df, assembler.getInputCols(), key)).select(key, "features")
+    return score_vectors({n: PipelineModel(m.stages[1:]) for n, m in models.items()}, vectors, key)
 
 
 def ensemble(
@@ -170,7 +210,10 @@ def common_features(a: DataFrame, b: DataFrame) -> DataFrame:
 def select_best(
     candidates: Mapping[str, PipelineModel], valid: DataFrame, label: str = "outcome", key: str = "person_id"
 ) -> tuple[str, DataFrame]:
-    """Name of the candidate with the lowest validation cross-entropy, and all losses."""
+    """Name of the candidate with the lowest validation cross-entropy, and all losses.
+
+    ``valid`` must hold rows that no candidate was fitted on.
+    """
     scored = score(candidates, valid, key).join(valid.select(key, label), key)
     losses = candidate_losses(scored, label, {n: n for n in candidates})
     return losses.first().candidate, losses

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from longfeat.functions.columns import column_name
-from longfeat.functions.joins import lookup_join, salted_join, spread_left_join
+from longfeat.functions.joins import lookup_join, spread_left_join
 from longfeat.plans.defaults import MIN_MENTIONS, NEGATED, NO_CONCEPT, POSITIVE, RATE_FLOOR, TOPK_WIDTH
 
 NOTE_COLUMNS = ["note_id", "person_id", "day", "visit_id"]
@@ -26,7 +26,8 @@ def note_mentions(notes: DataFrame, mentions: DataFrame) -> DataFrame:
 def consistent_mentions(noted: DataFrame) -> DataFrame:
     """Distinct positive and negated mentions whose (note, concept) does not hold both; null concepts always stay.
 
-    The contradictory pairs are one aggregate; the mentions are spread over salts for the anti join.
+    The contradictory pairs are one aggregate; the mentions stand on the left of the anti join, where Spark splits a
+    hot pair.
     """
     signed = noted.where(F.col("certainty").isin(POSITIVE, NEGATED))
     pair = ["note_id", "concept_id"]
@@ -39,7 +40,7 @@ def consistent_mentions(noted: DataFrame) -> DataFrame:
         .where(F.col("has_positive") & F.col("has_negated"))
         .select(*pair)
     )
-    return salted_join(signed, both, pair, "left_anti", ["mention_id"]).distinct()
+    return signed.join(both, pair, "left_anti").distinct()
 
 
 def match_concepts(mentions: DataFrame, related: DataFrame, small_fits: bool | None = None) -> DataFrame:

@@ -96,15 +96,19 @@ def longest(seqs: DataFrame) -> Column:
 def pad_sequences(seqs: DataFrame, features: Sequence[str], length: int | None = None) -> DataFrame:
     """Arrays of equal length: values, mask (arrays per step) and time, zero-padded on the right.
 
-    The default length is the longest of the whole table.
+    The default length is the longest of the whole table. A sequence longer than a given ``length`` is an error when
+    the plan runs: no step is ever cut off.
     """
-    size = F.lit(length) if length is not None else longest(seqs)
+    size = longest(seqs)
+    if length is not None:
+        short = F.concat(F.lit(f"a sequence is longer than the length {length}: "), F.size("steps").cast("string"))
+        size = F.when(F.size("steps") > length, F.raise_error(short).cast("int")).otherwise(F.lit(length))
     fill = F.greatest(size - F.size("steps"), F.lit(0)).cast("int")
     zeros = F.array(*[F.lit(0.0) for _ in features])
     unseen = F.array(*[F.lit(0) for _ in features])
 
     def padded(values: Column, filler: Column) -> Column:
-        return F.slice(F.concat(values, F.array_repeat(filler, fill)), F.lit(1), size.cast("int"))
+        return F.concat(values, F.array_repeat(filler, fill))
 
     return seqs.select(
         "person_id",

@@ -9,15 +9,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from longfeat.functions.columns import id_text
 from longfeat.functions.flags import BITS, bit, unpack, word_names
-from longfeat.functions.joins import salted_join
 from longfeat.operators.indicators import DAY_KEY
+from longfeat.operators.learn import place_vectors
 from longfeat.plans.defaults import LOOKBACK_DAYS, TOPK_PAGE, TOPK_WIDTH
 
 
@@ -28,7 +27,10 @@ def stack_domains(domains: Mapping[str, DataFrame], keys: Sequence[str] = ("pers
 
 
 def rank_concepts(stacked: DataFrame, k: int = TOPK_WIDTH, page: int = 0) -> DataFrame:
-    """(domain, concept_id, n, rank, feature): ranks (page*k, (page+1)*k] by row count, smaller id first on a tie."""
+    """(domain, concept_id, n, rank, feature): ranks (page*k, (page+1)*k] by row count, smaller id first on a tie.
+
+    The window sorts the distinct concepts of a domain in one task: bounded by the vocabulary, not by the events.
+    """
     counted = stacked.where(F.col("concept_id").isNotNull()).groupBy("domain", "concept_id").agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -86,19 +88,18 @@ def topk_matrix(
 ) -> DataFrame:
     """One row per cohort person: 0/1 columns, or with ``sparse`` one ML vector column ``features``.
 
-    The sparse form keeps wide matrices out of generated code.
+    The sparse form keeps wide matrices out of generated code: concepts are ranked once and travel as numbers.
     """
     people = cohort.select("person_id").distinct()
     stacked = stack_domains(domains)
     chosen = chosen_features(stacked, list(domains), k)
     names = [feature for _, _, feature in chosen]
     if sparse:
-        held = cells_of(stacked, ["person_id"], k).groupBy("person_id").agg(F.collect_list("feature").alias("held"))
-        held = people.join(held, "person_id", "left").withColumn(
-            "held", F.coalesce(F.col("held"), F.array().cast("array<string>"))
-        )
-        to_vector = CountVectorizerModel.from_vocabulary(names, inputCol="held", outputCol="features")
-        return to_vector.setBinary(True).transform(held).select("person_id", "features")
+        id_type = stacked.schema["concept_id"].dataType.simpleString()
+        places = [(d, c, i) for i, (d, c, _) in enumerate(chosen)]
+        table = stacked.sparkSession.createDataFrame(places, f"domain string, concept_id {id_type}, place int")
+        placed = stacked.join(F.broadcast(table), ["domain", "concept_id"]).select("person_id", "place")  # k per domain
+        return place_vectors(people, placed, len(names))
     packed = packed_matrix(stacked, chosen, ["person_id"])
     return unpack(people.join(packed, "person_id", "left"), names)
 
@@ -106,12 +107,11 @@ def topk_matrix(
 def recent_events(domains: Mapping[str, DataFrame], lookback: int = LOOKBACK_DAYS) -> DataFrame:
     """Stacked events on the days strictly after (last day of the person in any domain - lookback).
 
-    The last day is one small row per person; the events meet it in a salted join, so a busy person is spread.
+    The last day is one row per person; the events stand on the left of the join, where Spark splits a busy person.
     """
     stacked = stack_domains(domains, DAY_KEY)
     last = stack_days(domains).groupBy("person_id").agg(F.date_sub(F.max("day"), lookback).alias("cutoff_day"))
-    recent = salted_join(stacked, last, ["person_id"], "inner", ["day", "domain", "concept_id"])
-    return recent.where(F.col("day") > F.col("cutoff_day")).drop("cutoff_day")
+    return stacked.join(last, "person_id").where(F.col("day") > F.col("cutoff_day")).drop("cutoff_day")
 
 
 def stack_days(domains: Mapping[str, DataFrame]) -> DataFrame:

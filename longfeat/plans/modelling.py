@@ -6,15 +6,19 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from longfeat.operators.labels import attach_outcome, outcome
 from longfeat.operators.learn import (
     align_columns,
+    cell_vectors,
     ensemble,
     fit_models,
+    fit_vectors,
     indicator_features,
     matrix_specs,
     score,
+    score_vectors,
     summary_specs,
 )
 from longfeat.sources.storage import load_columns, load_models, materialize, save_columns, save_models
@@ -35,6 +39,20 @@ def fit_family(
     return fit_models(table, features, "outcome", specs)
 
 
+def is_sparse(matrix: DataFrame) -> bool:
+    """Sparse matrices are (person_id, feature) cells; others have a column per feature."""
+    return set(matrix.columns) == {"person_id", "feature"}
+
+
+def fit_cells(
+    people: DataFrame, cells: DataFrame, names: Sequence[str], labels: DataFrame, specs=None
+) -> dict[str, PipelineModel]:
+    """Fit the matrix family on sparse vectors over ``names``, written once."""
+    table = attach_outcome(cell_vectors(people, cells, names), outcome(labels))
+    table = materialize(table.withColumn("outcome", F.col("outcome").cast("double")), "train-cells")
+    return fit_vectors(table, specs or matrix_specs(table.count(), len(names)))
+
+
 def train(
     summary: DataFrame,
     matrix: DataFrame,
@@ -43,14 +61,26 @@ def train(
     summary_models: Mapping | None = None,
     matrix_models: Mapping | None = None,
 ) -> dict[str, dict[str, PipelineModel]]:
-    """Fit and save both families under ``root``, with the training columns next to the models."""
+    """Fit and save both families under ``root``, with the training columns next to the models.
+
+    ``matrix`` is best sparse: (person_id, feature) cells of the persons of the summary, as ``topk_cells`` gives them.
+    Its columns are then the distinct features (k per domain at most) in name order.
+    """
+    sparse = is_sparse(matrix)
+    if sparse:
+        columns = [r.feature for r in matrix.select("feature").distinct().orderBy("feature").collect()]
+    else:
+        columns = [c for c in matrix.columns if c != "person_id"]
     frames = {
         SUMMARY: (summary, indicator_features(summary.columns), summary_models),
-        MATRIX: (matrix, [c for c in matrix.columns if c != "person_id"], matrix_models),
+        MATRIX: (matrix, columns, matrix_models),
     }
     fitted = {}
     for family, (frame, features, specs) in frames.items():
-        fitted[family] = fit_family(frame, features, labels, specs, family)
+        if family == MATRIX and sparse:
+            fitted[family] = fit_cells(summary, frame, features, labels, specs)
+        else:
+            fitted[family] = fit_family(frame, features, labels, specs, family)
         save_models(fitted[family], f"{root}/{family}")
         save_columns(summary.sparkSession, features, f"{root}/{family}_columns")
     return fitted
@@ -75,6 +105,9 @@ def predict(
     for family, frame in ((MATRIX, matrix), (SUMMARY, summary)):
         columns = load_columns(cohort.sparkSession, f"{root}/{family}_columns")
         models = load_models(f"{root}/{family}", names)
-        scored = score(models, align_columns(frame, columns))
+        if family == MATRIX and is_sparse(frame):
+            scored = score_vectors(models, cell_vectors(summary, frame, columns))
+        else:
+            scored = score(models, align_columns(frame, columns))
         scores.append(scored.withColumnsRenamed({n: f"{n}_{family}" for n in names}))
     return ensemble(cohort, [*scores, *extra_scores], defaults, threshold)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longfeat.functions.joins import BROADCAST_ROWS, fits
+from longfeat.functions.joins import BROADCAST_BYTES, fits
 from longfeat.operators.dayfacts import day_facts, fill_zero, in_episode
 from longfeat.operators.doses import (
     dose_days,
@@ -117,7 +117,7 @@ def build_person_days(
 ) -> DataFrame:
     """Person-day facts of a loaded table set (operator column names) with the default measures and dose rules."""
     # Every lookup below holds at most one row per (domain, member row), so one check covers them all.
-    small = fits(members, BROADCAST_ROWS // len(INDICATOR_DOMAINS))
+    small = fits(members, BROADCAST_BYTES // len(INDICATOR_DOMAINS))
     exempt = {d: defaults.EXEMPT_SETS.get(d, ()) for d in INDICATOR_DOMAINS}
     resolved = resolve_domains(registry, members, exempt)
     for_conditions = resolved.where(F.col("domain") == "condition").drop("domain")
@@ -148,6 +148,11 @@ def build_summary(days: DataFrame, cohort: DataFrame, zero_is_missing: bool = Fa
     )
 
 
+def topk_domains(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The five coded domains under their column prefixes."""
+    return {prefix: tables[t] for t, prefix in TOPK_DOMAINS.items()}
+
+
 def build_topk(tables: Mapping[str, DataFrame], cohort: DataFrame, k: int = defaults.TOPK_WIDTH, sparse: bool = False):
     """Person x concept matrix over the five coded domains."""
-    return topk_matrix(cohort, {prefix: tables[t] for t, prefix in TOPK_DOMAINS.items()}, k, sparse)
+    return topk_matrix(cohort, topk_domains(tables), k, sparse)

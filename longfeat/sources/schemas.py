@@ -34,6 +34,37 @@ PERSON_TABLES = {
     ),
 }
 
+# Further tables of the published layout; no operator reads them.
+OTHER_TABLES = {
+    "visit": "person_id bigint, visit_occurrence_id bigint, visit_start_date date, visit_end_date date",
+    "death": "person_id bigint, death_date date",
+    "observation_period": "person_id bigint, observation_period_start_date date, observation_period_end_date date",
+    "concept": "concept_id bigint, concept_name string, domain_id string, vocabulary_id string",
+}
+
+# The file of each table in the published layout, without ``.csv``.
+PERSON_FILES = {
+    "condition": "condition_occurrence",
+    "death": "death",
+    "drug": "drug_exposure",
+    "label": "long_covid_silver_standard",
+    "measurement": "measurement",
+    "encounter": "microvisits_to_macrovisits",
+    "observation_period": "observation_period",
+    "observation": "observation",
+    "person": "person",
+    "procedure": "procedure_occurrence",
+    "visit": "visit_occurrence",
+}
+VOCABULARY_FILES = {
+    "concept": "concept",
+    "members": "concept_set_members",
+    "registry": "LL_concept_sets_fusion_everyone",
+    "required_registry": "LL_DO_NOT_DELETE_REQUIRED_concept_sets_all",
+}
+# The folders of its three table sets.
+FOLDERS = {"train": "training", "test": "testing", "vocabulary": "."}
+
 VOCABULARY_TABLES = {
     "members": (
         "codeset_id bigint, concept_id bigint, concept_set_name string, is_most_recent_version string, version int, "

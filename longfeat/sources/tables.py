@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from longfeat.sources.schemas import OPERATOR_COLUMNS, struct
+from longfeat.sources.schemas import (
+    FOLDERS,
+    OPERATOR_COLUMNS,
+    OTHER_TABLES,
+    PERSON_FILES,
+    PERSON_TABLES,
+    VOCABULARY_FILES,
+    VOCABULARY_TABLES,
+    struct,
+)
 
 
 def load_tables(
@@ -34,6 +43,33 @@ def load_tables(
     return tables
 
 
+def declared(names: Iterable[str]) -> dict[str, str]:
+    """The declared schemas of the tables."""
+    known = {**PERSON_TABLES, **VOCABULARY_TABLES, **OTHER_TABLES}
+    return {name: known[name] for name in names}
+
+
+def load_layout(
+    spark: SparkSession, root: str, folders: Mapping[str, str] = FOLDERS, fmt: str = "csv"
+) -> dict[str, dict[str, DataFrame]]:
+    """The published layout as it is: ``train`` and ``test`` person tables and the ``vocabulary``, by our table names.
+
+    A file may have further columns or another column order: fields are found by the names in its header, and one
+    that it lacks is null.
+    """
+    loaded = {}
+    for part, folder in folders.items():
+        files = VOCABULARY_FILES if part == "vocabulary" else PERSON_FILES
+        place = root.rstrip("/") if folder == "." else f"{root.rstrip('/')}/{folder}"
+        loaded[part] = {}
+        for name, spec in declared(files).items():
+            path = f"{place}/{files[name]}.{fmt}"
+            whole = spark.read.option("header", True).format(fmt).load(path)
+            absent = {f.name: F.lit(None) for f in struct(spec) if f.name not in whole.columns}
+            loaded[part][name] = conform(whole.withColumns(absent), spec)
+    return loaded
+
+
 def operator_tables(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """The same tables under the column names the operators use."""
     return {name: df.withColumnsRenamed(OPERATOR_COLUMNS.get(name, {})) for name, df in tables.items()}

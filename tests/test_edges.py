@@ -353,6 +353,8 @@ def test_sequence_scaling_and_padding(rows):
     padded = {r.person_id: r for r in seq.pad_sequences(seq.sequences(recent, ["x"]), ["x"]).collect()}
     assert padded[1].t == [0.0, 1.0] and padded[2].v == [[0.0], [0.0]] and padded[2].m == [[1], [0]]
     assert len(seq.pad_sequences(seq.sequences(recent, ["x"]), ["x"], 5).first().v) == 5
+    with pytest.raises(Exception, match="longer than the length 1"):
+        seq.pad_sequences(seq.sequences(recent, ["x"]), ["x"], 1).collect()
 
 
 def test_resampling_of_a_constant_series_is_constant(rows):

@@ -115,23 +115,41 @@ def test_literal_registry_merge_differs_only_in_nulls_and_duplicates(rows):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_join(rows, how):
+@pytest.mark.parametrize("rows_per_task", [5, 30, 10_000])
+def test_salted_join_equals_join(rows, how, rows_per_task):
     r = random.Random(7)
     big = rows([(person(r), i) for i in range(200)] + [(None, 1)], "k bigint, i bigint")
     small = rows([(k, k * 10) for k in range(1, 9)], "k bigint, v bigint")
-    same(salted_join(big, small, ["k"], how, ["i"]), big.join(small, "k", how))
+    same(salted_join(big, small, ["k"], how, ["i"], rows_per_task), big.join(small, "k", how))
 
 
-def test_spread_left_join_equals_left_join(rows):
+@pytest.mark.parametrize("rows_per_task", [5, 30, 10_000])
+def test_spread_left_join_equals_left_join(rows, rows_per_task):
     r = random.Random(8)
     left = rows([(k,) for k in range(0, 15)] + [(1,), (None,)], "k bigint")
     big = rows([(person(r), i) for i in range(200)] + [(None, 1)], "k bigint, i bigint")
-    same(spread_left_join(left, big, ["k"], ["i"]), left.join(big, "k", "left"))
+    same(spread_left_join(left, big, ["k"], ["i"], rows_per_task), left.join(big, "k", "left"))
 
 
-def test_hot_key_is_shared_by_all_salts(spark):
-    from longfeat.functions.joins import SALTS, salt_of
+def test_only_heavy_keys_are_copied(spark):
+    """A third of the rows on one key: it is split by its own size, and the other rows are not repeated."""
+    from longfeat.functions import joins
 
-    hot = spark.range(16_000).withColumn("k", F.lit(1))
-    sizes = [x["count"] for x in hot.groupBy(salt_of(["id"]).alias("salt")).count().collect()]
-    assert len(sizes) == SALTS and max(sizes) < 1.3 * 16_000 / SALTS
+    key = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 5_000)
+    big = spark.range(30_000).withColumn("k", key)
+    heavy = joins.heavy_keys(big, ["k"], 1_000)
+    assert [(r.k, r._copies) for r in heavy.collect()] == [(-1, 10)]
+    sizes = joins._spread(big, heavy, ["k"], ["id"]).where("k = -1").groupBy("_salt").count().collect()
+    assert len(sizes) == 10 and max(r["count"] for r in sizes) < 1.3 * 1_000
+    left = big.select("k").distinct()
+    assert joins._repeat(left, heavy, ["k"]).count() <= 1.1 * left.count()
+    assert joins.heavy_keys(big, ["k"], 100_000) is None
+    assert joins.heavy_keys(big, ["k"], 3, most=5).count() == 1
+
+
+def test_lookups_are_measured_in_bytes(spark):
+    from longfeat.functions.joins import fits, size_bytes
+
+    names = spark.range(100).select("id", F.repeat(F.lit("x"), 1_000).alias("name"))
+    assert 100_000 < size_bytes(names) < 110_000 and fits(names, 110_000) and not fits(names, 100_000)
+    assert size_bytes(names.limit(0)) == 0

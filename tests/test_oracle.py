@@ -11,7 +11,7 @@ from workload.oracle import ORACLE
 from workload.queries import QUERIES
 
 # Their columns are the concepts found in the data; the twins list all of them, which the smallest set does not have.
-NEED_ALL_CONCEPTS = {"topk_matrix", "topk_page_days_dense"}
+NEED_ALL_CONCEPTS = {"topk_matrix", "topk_page_days_dense", "feature_ranks"}
 
 
 def test_every_twin_has_a_query():

@@ -11,6 +11,7 @@ from longfeat.operators.cohort import build_cohort
 from longfeat.operators.learn import feature_ranks, select_best
 from longfeat.operators.lookback import recent_counts, recent_rows
 from longfeat.operators.labels import attach_outcome, outcome, restrict, split_exact
+from longfeat.operators.topk import topk_cells
 from longfeat.plans import modelling, products
 from longfeat.sources.schemas import PERSON_TABLES, VOCABULARY_TABLES
 from longfeat.sources.storage import materialize, shared_dir, write_table
@@ -101,6 +102,24 @@ def test_training_and_scoring(spark, product, tmp_path):
     assert best == losses.first().candidate and losses.count() == 2
 
 
+def test_sparse_cells_train_and_score_like_columns(spark, product, tmp_path):
+    tables, cohort, days = product
+    summary = products.build_summary(days, cohort)
+    models = {"lr": [LogisticRegression(labelCol="outcome", regParam=0.1, maxIter=50)]}
+    cells = topk_cells(products.topk_domains(tables), k=5)
+    wide = products.build_topk(tables, cohort, k=5)
+    scores = []
+    for name, matrix in (("cells", cells), ("wide", wide)):
+        modelling.train(summary, matrix, tables["label"], str(tmp_path / name), models, models)
+        out = modelling.predict(summary, matrix, cohort, str(tmp_path / name), ["lr"])
+        scores.append({r.person_id: r.lr_matrix for r in out.collect()})
+    assert scores[0].keys() == scores[1].keys()
+    assert all(scores[0][p] == pytest.approx(scores[1][p], abs=1e-4) for p in scores[0])
+    unseen = cells.union(cells.select("person_id", F.lit("con-unseen").alias("feature")))
+    again = modelling.predict(summary, unseen, cohort, str(tmp_path / "cells"), ["lr"])
+    assert {r.person_id: r.lr_matrix for r in again.collect()} == pytest.approx(scores[0])
+
+
 def test_windows_split_and_subsets(product):
     tables, cohort, days = product
     counts = recent_counts(recent_rows(days))

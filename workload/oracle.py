@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from longfeat.operators.labels import SETUPS
+from longfeat.sources.schemas import FOLDERS, PERSON_FILES, VOCABULARY_FILES
 from workload import views as vw
 from workload.views import BOUNDS, CUSTOM_REGISTRY, CUSTOM_SETS, INDICATORS, RESULTS, ROLE_SETS, ROUTES, TESTS
 
@@ -171,19 +172,21 @@ VIEWS |= {
         f"max({c}) AS {c}_indicator" for c in [*INDICATORS, *[n for n in LAB_NAMES if n not in ("m4", "m5", "m8")],
         *FLAG_NAMES, "obese", *[c for c in DOSE_COLUMNS if c != "had_dose"], *DOSE_TAIL])},
         CAST(sum(had_dose) AS BIGINT) AS total_doses FROM facts GROUP BY person_id""",
-    "tagged": "SELECT person_id, day, left(domain, 3) AS domain, concept_id FROM occ",
-    "last_day": "SELECT person_id, max(day) AS last_day FROM occ GROUP BY person_id",
+    "tagged": """SELECT person_id, day, left(domain, 3) AS domain, concept_id FROM occ
+        UNION ALL SELECT person_id, day, 'mea', concept_id FROM meas""",
+    "last_day": "SELECT person_id, max(day) AS last_day FROM tagged GROUP BY person_id",
     "recent_tagged": """SELECT t.* FROM tagged t JOIN last_day l ON l.person_id = t.person_id
         WHERE t.day > l.last_day - 10""",
     "recent_facts": """SELECT *, min(day) OVER (PARTITION BY person_id) AS first_day FROM (
         SELECT *, max(day) OVER (PARTITION BY person_id) AS last_day FROM facts WHERE day IS NOT NULL)
         WHERE day > last_day - 180""",
     "notes": """SELECT event_id // 10 AS note_id, min(person_id) AS person_id, min(day) AS day,
-        (event_id // 10) % 7 AS visit_id FROM occ GROUP BY event_id // 10""",
+        (event_id // 10) % 7 AS visit_id FROM occ GROUP BY event_id // 10
+        UNION ALL SELECT -encounter_id, person_id, day, (-encounter_id) % 7 FROM enc""",
     "mentions": """SELECT event_id AS mention_id, event_id // 10 AS note_id,
         CASE WHEN domain IN ('click', 'view') THEN 'Positive' WHEN domain = 'error' THEN 'Negated' ELSE 'Unknown' END
             AS certainty, CASE WHEN event_id % 17 <> 0 THEN concept_id // 5 END AS concept_id
-        FROM occ WHERE value > 25""",
+        FROM occ""",
     "noted": """SELECT n.note_id, n.person_id, n.day, n.visit_id, m.mention_id, m.certainty, m.concept_id
         FROM notes n LEFT JOIN mentions m ON m.note_id = n.note_id""",
     "consistent": """SELECT DISTINCT a.* FROM noted a WHERE certainty IN ('Positive', 'Negated') AND NOT EXISTS (
@@ -257,6 +260,27 @@ oracle(
     try_cast(o_orderstatus AS INTEGER) AS bad, o_totalprice AS price, CAST(o_orderdate AS DATE) AS day FROM orders""",
 )
 oracle("sink_roundtrip", "SELECT * FROM enc")
+LAYOUT = {
+    "condition": "SELECT person_id AS k FROM occ WHERE domain = 'click'",
+    "observation": "SELECT person_id AS k FROM occ WHERE domain = 'view'",
+    "procedure": "SELECT person_id AS k FROM occ WHERE domain = 'error'",
+    "drug": "SELECT person_id AS k FROM occ WHERE domain = 'purchase'",
+    "measurement": "SELECT person_id AS k FROM meas",
+    "person": "SELECT person_id AS k FROM person",
+    "encounter": "SELECT person_id AS k FROM enc",
+    "label": "SELECT person_id AS k FROM labels_",
+    "members": "SELECT codeset_id AS k FROM members",
+    "registry": "SELECT set_name AS k FROM registry",
+}
+ABSENT = "SELECT NULL AS k WHERE false"
+oracle(
+    "layout_roundtrip",
+    " UNION ALL ".join(
+        f"SELECT '{part}' AS part, '{name}' AS name, count(*) AS rows, count(DISTINCT k) AS keys FROM ({LAYOUT.get(name, ABSENT)})"
+        for part in FOLDERS
+        for name in (VOCABULARY_FILES if part == "vocabulary" else PERSON_FILES)
+    ),
+)
 oracle("stats_roundtrip", STATS.format(t="measured"))
 
 NUMBERS = {name: i for i, name in enumerate(dict.fromkeys(r[2] for r in CUSTOM_SETS), 1)}
@@ -375,7 +399,7 @@ def ranked(source: str, lo: int, hi: int) -> str:
         WHERE r > {lo} AND r <= {hi}"""
 
 
-FEATURES = [(d[:3], c) for d in ROUTES for c in range(100)]
+FEATURES = [(d[:3], c) for d in ROUTES for c in range(100)] + [("mea", c) for c in range(24)]
 oracle(
     "topk_cells",
     f"""SELECT DISTINCT person_id, domain || concept_id AS feature FROM tagged
@@ -387,6 +411,11 @@ oracle(
     "topk_matrix",
     f"SELECT c.person_id, {CELLS} FROM cohort c LEFT JOIN tagged t ON t.person_id = c.person_id GROUP BY c.person_id",
 )
+oracle(
+    "topk_matrix_sparse",
+    f"""SELECT DISTINCT person_id, domain || concept_id AS feature FROM tagged
+    JOIN ({ranked("tagged", 0, 100)}) USING (domain, concept_id) WHERE person_id IN (SELECT person_id FROM cohort)""",
+)
 oracle(
     "topk_page_days",
     f"""SELECT DISTINCT t.person_id, t.day, t.domain || t.concept_id AS feature, outcome FROM recent_tagged t
@@ -505,6 +534,26 @@ oracle(
     GROUP BY person_id, point""",
 )
 
+# The outcome of the model queries is one indicator, or the most frequent concept of a domain.
+RULE = "SELECT person_id, coalesce(ind3_indicator, 0) AS predicted FROM (SELECT c.person_id, r.ind3_indicator FROM base c LEFT JOIN rollup r ON r.person_id = c.person_id)"
+for kind in ("lr", "lr_balanced", "rf", "gbt"):
+    oracle(f"model_{kind}", f"SELECT * FROM ({RULE}) WHERE predicted = 1" if kind == "lr_balanced" else RULE)
+TOP_CLICK = "SELECT concept_id FROM tagged WHERE domain = 'cli' AND concept_id IS NOT NULL GROUP BY concept_id ORDER BY count(*) DESC, concept_id LIMIT 1"
+for kind in ("lr", "lr_balanced", "gbt", "mlp"):
+    oracle(
+        f"matrix_{kind}",
+        f"""SELECT person_id, {flag(f"person_id IN (SELECT person_id FROM tagged WHERE domain = 'cli' AND concept_id = ({TOP_CLICK}))")}
+        AS predicted FROM cohort""",
+    )
+oracle("model_roundtrip", "SELECT person_id, 1 AS same FROM base")
+oracle(
+    "aligned_columns",
+    """SELECT c.person_id, CAST(coalesce(ind0_indicator, 0) AS DOUBLE) AS ind0_indicator, 0.0::DOUBLE AS ind1_indicator,
+    CAST(coalesce(ind2_indicator, 0) AS DOUBLE) AS ind2_indicator FROM base c LEFT JOIN rollup r ON r.person_id = c.person_id""",
+)
+oracle("model_best", "SELECT unnest(['lr', 'lr_balanced']) AS candidate, true AS unseen, true AS least")
+oracle("feature_ranks", "SELECT unnest(['lr', 'rf']) AS model, 'ind3_indicator' AS feature, false AS in_least")
+
 oracle(
     "ensemble_scores",
     """SELECT person_id, score_a, score_b, score_c,
@@ -545,3 +594,8 @@ oracle(
     "masked_mse",
     "SELECT round(sum(mask * (score - other) * (score - other)) / sum(mask), 6) AS mse FROM scored",
 )
+
+# The same rows by the way beyond the broadcast bound.
+ORACLE["indicator_days_salted"] = ORACLE["indicator_days_condition"]
+ORACLE["measure_flags_salted"] = ORACLE["measure_flags"]
+ORACLE["mention_matched_salted"] = ORACLE["mention_matched"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from longfeat.operators import measures as me
 from longfeat.operators import sequences as seq
 from longfeat.operators import vocabulary as vo
 from longfeat.plans import products
-from longfeat.sources import storage, tables
+from longfeat.sources import schemas, storage, tables
 from workload import views as vw
 from workload.views import Views
 
@@ -35,7 +36,7 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-# sources and sinks -------------------------------------------------------------------------------------------------
+# sources and sinks
 @query
 def source_subset(v: Views) -> DataFrame:
     return tables.first_rows(v.enc(), 500, ties=["encounter_id"])
@@ -67,6 +68,46 @@ def sink_roundtrip(v: Views) -> DataFrame:
     return tables.load_tables(v.spark, root, {"enc": "person_id bigint, day date, encounter_id bigint"})["enc"]
 
 
+def layout_tables(v: Views) -> dict[str, DataFrame]:
+    """Tables of the published layout from the given ones; an extra column stands first, as files may have them."""
+    coded = lambda domain, prefix, day="date": v.domain(domain).select(
+        F.lit("x").alias("extra"), "person_id", F.col("day").alias(f"{prefix}_{day}"), F.col("concept_id").alias(f"{prefix}_concept_id")
+    )
+    return {
+        "condition": coded("click", "condition", "start_date"),
+        "observation": coded("view", "observation"),
+        "procedure": coded("error", "procedure"),
+        "drug": coded("purchase", "drug", "exposure_start_date").withColumnRenamed("drug_exposure_concept_id", "drug_concept_id"),
+        "measurement": v.meas().select("person_id", F.col("concept_id").alias("measurement_concept_id"), F.col("value").alias("value_as_number")),
+        "person": v.person(),
+        "encounter": v.enc().select("person_id", F.col("day").alias("visit_start_date")),
+        "label": v.labels().select("person_id", F.col("after").alias("pasc_code_after_four_weeks")),
+        "members": v.members().withColumnRenamed("set_name", "concept_set_name"),
+        "registry": v.registry().withColumnsRenamed({"set_name": "concept_set_name", "indicator": "indicator_prefix"}),
+    }
+
+
+@query
+def layout_roundtrip(v: Views) -> DataFrame:
+    """Write a whole table set in the published layout, read it back as it is, and count rows and persons per table."""
+    root = storage.fresh_path(v.spark, "layout")
+    made = layout_tables(v)
+    for part, folder in schemas.FOLDERS.items():
+        files = schemas.VOCABULARY_FILES if part == "vocabulary" else schemas.PERSON_FILES
+        for name, spec in tables.declared(files).items():
+            if name in made:
+                frame = made[name]
+            else:  # a table the given data has no rows for
+                frame = v.spark.createDataFrame([], schemas.struct(spec))
+            storage.write_table(frame, f"{root}/{folder}/{files[name]}.csv", "csv")
+    rows = []
+    for part, read in tables.load_layout(v.spark, root).items():
+        for name, frame in read.items():
+            key = "person_id" if "person_id" in frame.columns else frame.columns[0]
+            rows.append(frame.agg(F.lit(part).alias("part"), F.lit(name).alias("name"), F.count("*").alias("rows"), F.countDistinct(key).alias("keys")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query
 def stats_roundtrip(v: Views) -> DataFrame:
     path = storage.fresh_path(v.spark, "stats")
@@ -74,7 +115,7 @@ def stats_roundtrip(v: Views) -> DataFrame:
     return storage.load_stats(v.spark, path)
 
 
-# vocabulary --------------------------------------------------------------------------------------------------------
+# vocabulary
 @query
 def vocab_custom_sets(v: Views) -> DataFrame:
     return vo.append_sets(v.members(), vw.CUSTOM_SETS)
@@ -118,7 +159,7 @@ def roles(v: Views) -> DataFrame:
     return vo.concepts_in_roles(v.measure_members(), vw.ROLE_SETS)
 
 
-# cohort ------------------------------------------------------------------------------------------------------------
+# cohort
 @query
 def cohort_demographics(v: Views) -> DataFrame:
     people = co.demographics(co.distinct_persons(v.person(), [*co.BIRTH_PARTS, "segment"]), vw.AS_OF)
@@ -143,7 +184,7 @@ def cohort_scaled(v: Views) -> DataFrame:
     return rounded(co.min_max_scale(people, "age", "age_scaled").select("person_id", "age", "age_scaled"), "age_scaled")
 
 
-# indicators --------------------------------------------------------------------------------------------------------
+# indicators
 def days_of(v: Views, domain: str) -> DataFrame:
     return ind.indicator_days(v.domain(domain), v.cohort(), resolved_one(v, domain), vw.INDICATORS, small_fits=v.small)
 
@@ -183,7 +224,7 @@ def index_date(v: Views) -> DataFrame:
     return ind.index_dates(days_of(v, "click"))
 
 
-# measures ----------------------------------------------------------------------------------------------------------
+# measures
 def measure_frame(v: Views, **kw) -> DataFrame:
     return me.measure_days(v.meas(), v.cohort(), vw.BOUNDS, roles(v), vw.TESTS, vw.RESULTS, small_fits=v.small, **kw)
 
@@ -198,17 +239,27 @@ def measure_bmi(v: Views) -> DataFrame:
     return measure_frame(v).select("person_id", "day", "bmi_rounded", "obese")
 
 
-@query
-def measure_flags(v: Views) -> DataFrame:
+def flags_frame(v: Views, small: bool) -> DataFrame:
     people = v.person().select("person_id", "segment")
     is_building = ind.flag(F.col("segment") == "BUILDING")
     days = me.measure_days(
-        v.meas(), people, [], roles(v), vw.TESTS, vw.RESULTS, attributes={"is_building": is_building}, small_fits=v.small
+        v.meas(), people, [], roles(v), vw.TESTS, vw.RESULTS, attributes={"is_building": is_building}, small_fits=small
     )
     return days.drop("bmi_rounded", "obese")
 
 
-# doses -------------------------------------------------------------------------------------------------------------
+@query
+def measure_flags(v: Views) -> DataFrame:
+    return flags_frame(v, v.small)
+
+
+@query
+def measure_flags_salted(v: Views) -> DataFrame:
+    """The way beyond the broadcast bound."""
+    return flags_frame(v, False)
+
+
+# doses
 def all_doses(v: Views) -> DataFrame:
     exposures = do.dose_events(
         v.exposures(), vw.EXPOSURE_PRODUCTS, "2024-01-02", vw.EXCLUDED_TYPES, v.members(), small_fits=v.small
@@ -263,7 +314,7 @@ def dose_days(v: Views) -> DataFrame:
     return dose_day_frame(v)
 
 
-# day facts ---------------------------------------------------------------------------------------------------------
+# day facts
 def facts(v: Views, **kw) -> DataFrame:
     return products.person_days(
         v.enc(),
@@ -300,7 +351,7 @@ def episode_flag(v: Views) -> DataFrame:
     return df_.in_episode(v.occ().select("person_id", "day").distinct(), v.episodes())
 
 
-# summary -----------------------------------------------------------------------------------------------------------
+# summary
 def summary_frame(v: Views) -> DataFrame:
     return summary.person_summary(
         facts(v),
@@ -327,35 +378,40 @@ def column_variance(v: Views) -> DataFrame:
     return rounded(summary.column_variance(measure_frame(v), ["m4", "m5", "m6", "obese"]), "variance", digits=4)
 
 
-# top-k -------------------------------------------------------------------------------------------------------------
-def five(v: Views) -> dict[str, DataFrame]:
-    return {d[:3]: v.domain(d) for d in vw.ROUTES}
+# top-k
+def domains(v: Views) -> dict[str, DataFrame]:
+    return {**{d[:3]: v.domain(d) for d in vw.ROUTES}, "mea": v.meas()}
 
 
 @query
 def topk_cells(v: Views) -> DataFrame:
-    cells = topk.topk_cells(five(v), k=10)
+    cells = topk.topk_cells(domains(v), k=10)
     return ind.within_cohort(cells, v.cohort())
 
 
 @query
 def topk_matrix(v: Views) -> DataFrame:
-    return topk.topk_matrix(v.cohort(), five(v), k=100)
+    return topk.topk_matrix(v.cohort(), domains(v), k=100)
 
 
 @query
 def topk_matrix_sparse(v: Views) -> DataFrame:
-    return topk.topk_matrix(v.cohort(), five(v), k=100, sparse=True)
+    """The cells of the sparse vectors: places are turned back into names."""
+    vectors = topk.topk_matrix(v.cohort(), domains(v), k=100, sparse=True)
+    chosen = topk.chosen_features(topk.stack_domains(domains(v)), list(domains(v)), 100)
+    names = F.array(*[F.lit(feature) for _, _, feature in chosen])
+    held = F.from_json(F.to_json(F.struct("features")), "features struct<indices:array<int>>")["features"]["indices"]
+    return vectors.select("person_id", F.explode(held).alias("place")).select("person_id", names[F.col("place")].alias("feature"))
 
 
 @query
 def topk_page_days(v: Views) -> DataFrame:
-    return topk.topk_day_matrix(five(v), la.outcome(v.labels()), k=20, page=1, lookback=10, sparse=True)
+    return topk.topk_day_matrix(domains(v), la.outcome(v.labels()), k=20, page=1, lookback=10, sparse=True)
 
 
 @query
 def topk_page_days_dense(v: Views) -> DataFrame:
-    return topk.topk_day_matrix(five(v), la.outcome(v.labels()), k=100, page=0, lookback=10)
+    return topk.topk_day_matrix(domains(v), la.outcome(v.labels()), k=100, page=0, lookback=10)
 
 
 @query
@@ -364,7 +420,7 @@ def topk_persons_dated(v: Views) -> DataFrame:
     return la.attach_outcome(persons, la.outcome(v.labels()))
 
 
-# lookback ----------------------------------------------------------------------------------------------------------
+# lookback
 @query
 def lookback_rows(v: Views) -> DataFrame:
     return lookback.recent_rows(facts(v))
@@ -381,7 +437,7 @@ def lookback_notes(v: Views) -> DataFrame:
     return lookback.join_notes(lookback.recent_rows(days), note_signs(v))
 
 
-# mentions ----------------------------------------------------------------------------------------------------------
+# mentions
 def related(v: Views) -> DataFrame:
     return vo.expand_sets(v.mention_members(), v.broad_sets())
 
@@ -395,6 +451,19 @@ def note_signs(v: Views) -> DataFrame:
     return mentions.mention_matrix(matched(v), "set_name", [f"broad-{i}" for i in range(4)], "sympt_")
 
 
+@query
+def indicator_days_salted(v: Views) -> DataFrame:
+    """The way beyond the broadcast bound."""
+    return ind.indicator_days(v.domain("click"), v.cohort(), resolved_one(v, "click"), vw.INDICATORS, small_fits=False)
+
+
+@query
+def mention_matched_salted(v: Views) -> DataFrame:
+    """The way beyond the broadcast bound."""
+    noted = mentions.note_mentions(v.notes(), v.mentions())
+    return mentions.positive_only(mentions.match_concepts(mentions.consistent_mentions(noted), related(v), False))
+
+
 @query
 def mention_notes(v: Views) -> DataFrame:
     return mentions.note_mentions(v.notes(), v.mentions())
@@ -441,7 +510,7 @@ def mention_pivot_fanout(v: Views) -> DataFrame:
     return mentions.mention_matrix(matched(v), "set_name", [f"broad-{i}" for i in range(4)], "sympt_", fanout=True)
 
 
-# labels ------------------------------------------------------------------------------------------------------------
+# labels
 @query
 def outcome_labels(v: Views) -> DataFrame:
     return la.attach_outcome(v.cohort(), la.outcome(v.labels()))
@@ -463,7 +532,7 @@ def split_restrict(v: Views) -> DataFrame:
     return la.restrict(v.enc(), la.split_exact(v.cohort(), 0.9, seed=7), "valid")
 
 
-# sequences ---------------------------------------------------------------------------------------------------------
+# sequences
 STEP_FEATURES = ["m4", "m5", "m6"]
 
 
@@ -514,70 +583,107 @@ def seq_resampled(v: Views) -> DataFrame:
     return rounded(seq.resample_kernel(arrays, STEP_FEATURES), "time", *STEP_FEATURES, digits=5)
 
 
-# models ------------------------------------------------------------------------------------------------------------
-MODEL_PARAMS = {"rf": {"numTrees": 20, "maxDepth": 6}, "gbt": {"maxIter": 10, "maxDepth": 4}}
+# models
+RULE = "ind3_indicator"
 
 
 def training(v: Views) -> tuple[DataFrame, list[str]]:
-    frame = la.attach_outcome(summary_frame(v), la.outcome(v.labels()))
-    return frame, learn.indicator_features(frame.columns)
-
-
-def specs(kinds: list[str], rows: int, width: int) -> dict:
-    known = {**learn.summary_specs(rows), "mlp": learn.matrix_specs(rows, width)["mlp"]}
-    chosen = {k: known[k] for k in kinds}
-    for kind, params in MODEL_PARAMS.items():
-        if kind in chosen:
-            chosen[kind][-1].setParams(**params)
-    return chosen
+    """The whole summary; the outcome follows a rule (it is one indicator), so what a model must find is known."""
+    frame = summary_frame(v)
+    return frame.withColumn("outcome", F.coalesce(F.col(RULE), F.lit(0))), learn.indicator_features(frame.columns)
 
 
-def fitted(v: Views, kinds: list[str]):
+def fitted(v: Views, kinds: list[str], part: str | None = None):
     frame, features = training(v)
     frame = storage.materialize(frame, "training")
-    return learn.fit_models(frame, features, "outcome", specs(kinds, frame.count(), len(features))), frame, features
+    rows = la.restrict(frame, la.split_exact(v.cohort()), part) if part else frame
+    specs = learn.summary_specs(frame.count())
+    return learn.fit_models(rows, features, "outcome", {k: specs[k] for k in kinds}), frame, features
+
+
+def predicted(scores: DataFrame, kind: str) -> DataFrame:
+    return scores.select("person_id", ind.flag(F.col(kind) > 0.5).alias("predicted"))
 
 
 def model_query(kind: str) -> None:
     def run(v: Views) -> DataFrame:
         models, frame, features = fitted(v, [kind])
-        return learn.score(models, frame)
+        # Weighted classes trade a few false alarms for finding every positive, so that is what is checked of them.
+        frame = frame.where("outcome = 1") if kind == "lr_balanced" else frame
+        return predicted(learn.score(models, frame), kind)
 
     run.__name__ = f"model_{kind}"
     query(run)
 
 
-for _kind in ("lr", "lr_balanced", "rf", "gbt", "mlp"):
+for _kind in ("lr", "lr_balanced", "rf", "gbt"):
     model_query(_kind)
 
 
+def matrix_query(kind: str) -> None:
+    """Models of the sparse concept matrix; the outcome is the most frequent concept of the first domain."""
+
+    def run(v: Views) -> DataFrame:
+        cells = storage.materialize(topk.topk_cells(domains(v), k=100), "cells")
+        names = [r.feature for r in cells.select("feature").distinct().orderBy("feature").collect()]
+        top = topk.rank_concepts(topk.stack_domains({"cli": v.domain("click")}), 1).select("feature")
+        rule = cells.join(top, "feature").select("person_id", F.lit(1).alias("outcome"))
+        vectors = learn.cell_vectors(v.cohort(), cells, names)
+        table = storage.materialize(la.attach_outcome(vectors, rule).withColumn("outcome", F.col("outcome").cast("double")), "matrix")
+        models = learn.fit_vectors(table, {kind: learn.matrix_specs(table.count(), len(names))[kind]})
+        return predicted(learn.score_vectors(models, table), kind)
+
+    run.__name__ = f"matrix_{kind}"
+    query(run)
+
+
+for _kind in ("lr", "lr_balanced", "gbt", "mlp"):
+    matrix_query(_kind)
+
+
 @query
 def model_roundtrip(v: Views) -> DataFrame:
-    """Fit, save, load, align a frame with missing and extra columns, score, average."""
+    """Fit, save, load, align a frame with an extra column, score: the loaded models agree with those in memory."""
     models, frame, features = fitted(v, ["lr", "rf"])
     root = storage.fresh_path(v.spark, "models")
     storage.save_models(models, root)
     storage.save_columns(v.spark, features, f"{root}/columns")
     loaded = storage.load_models(root, list(models))
     columns = storage.load_columns(v.spark, f"{root}/columns")
-    aligned = learn.align_columns(frame.drop("ind0_indicator").withColumn("extra", F.lit(1)), columns)
-    return learn.ensemble(v.cohort(), [learn.score(loaded, aligned)])
+    aligned = learn.align_columns(frame.withColumn("extra", F.lit(1)), columns)
+    ours = learn.score(models, frame).select("person_id", F.struct("lr", "rf").alias("ours"))
+    theirs = learn.score(loaded, aligned).select("person_id", F.struct("lr", "rf").alias("theirs"))
+    return ours.join(theirs, "person_id", "full").select("person_id", ind.flag(F.col("ours") == F.col("theirs")).alias("same"))
+
+
+@query
+def aligned_columns(v: Views) -> DataFrame:
+    """A frame with a missing and an extra column, brought to the training columns."""
+    frame, _ = training(v)
+    columns = ["ind0_indicator", "ind1_indicator", "ind2_indicator"]
+    return learn.align_columns(frame.select("person_id", "ind2_indicator", "ind0_indicator", "age"), columns)
 
 
 @query
 def model_best(v: Views) -> DataFrame:
-    models, frame, features = fitted(v, ["lr", "lr_balanced"])
-    name, losses = learn.select_best(models, la.restrict(frame, la.split_exact(v.cohort()), "valid"))
-    return losses.withColumn("best", F.col("candidate") == name)
+    """Candidates are fitted on the training part and judged on the validation part."""
+    models, frame, features = fitted(v, ["lr", "lr_balanced"], "train")
+    split = la.split_exact(v.cohort())
+    valid, train = la.restrict(frame, split, "valid"), la.restrict(frame, split, "train")
+    name, losses = learn.select_best(models, valid)
+    unseen = valid.join(train.select("person_id"), "person_id", "left_semi").count() == 0
+    least = losses.agg(F.min("loss").alias("loss")).scalar()
+    return losses.select("candidate", F.lit(unseen).alias("unseen"), ((F.col("candidate") != name) | (F.col("loss") == least)).alias("least"))
 
 
 @query
 def feature_ranks(v: Views) -> DataFrame:
+    """The first feature of each model is the rule; the least ranked ones do not hold it."""
     models, frame, features = fitted(v, ["lr", "rf"])
     tops = [learn.feature_ranks(v.spark, m, features).withColumn("model", F.lit(n)) for n, m in models.items()]
-    low = [learn.feature_ranks(v.spark, m, features, least=True) for m in models.values()]
-    shared = learn.common_features(*low).withColumn("in_both_least", F.lit(True))
-    return tops[0].unionByName(tops[1]).join(shared, "feature", "left")
+    least = [learn.feature_ranks(v.spark, m, features, n=3, least=True) for m in models.values()]
+    held = learn.common_features(least[0], tops[0].where("rank = 1")).count() > 0
+    return tops[0].unionByName(tops[1]).where("rank = 1").select("model", "feature", F.lit(held).alias("in_least"))
 
 
 @query
@@ -590,7 +696,7 @@ def ensemble_scores(v: Views) -> DataFrame:
     return rounded(out, "probability")
 
 
-# metrics -----------------------------------------------------------------------------------------------------------
+# metrics
 def scored(v: Views) -> DataFrame:
     return v.table("lineitem").select(
         ind.flag(F.col("l_returnflag") == "R").alias("label"),

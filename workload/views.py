@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longfeat.functions.columns import flag
-from longfeat.functions.joins import BROADCAST_ROWS, fits
+from longfeat.functions.joins import BROADCAST_BYTES, fits
 from longfeat.operators.measures import Bound
 
 ROUTES = {
@@ -73,9 +73,9 @@ class Views:
     @cached_property
     def small(self) -> bool:
         """Size check of the part dimension, which bounds every vocabulary view and lookup made from it."""
-        return fits(self.table("part"), BROADCAST_ROWS // len(ROUTES))
+        return fits(self.table("part").select("p_partkey", "p_name"), BROADCAST_BYTES // len(ROUTES))
 
-    # events ---------------------------------------------------------------------------------------------------
+    # events
     def occ(self) -> DataFrame:
         return self.table("events").select(
             F.col("user_id").alias("person_id"),
@@ -92,7 +92,7 @@ class Views:
     def users(self) -> DataFrame:
         return self.table("events").select(F.col("user_id").alias("person_id")).distinct()
 
-    # vocabulary, from the part dimension ------------------------------------------------------------------------
+    # vocabulary, from the part dimension
     def members(self) -> DataFrame:
         concept = (F.col("p_partkey") % 100).alias("concept_id")
         concepts = self.table("part").select(concept).distinct()
@@ -136,7 +136,7 @@ class Views:
         named = concepts.select("concept_id", both).where(F.col("set_name").isNotNull())
         return named.withColumn("is_current", F.lit("true"))
 
-    # persons ----------------------------------------------------------------------------------------------------
+    # persons
     def person(self) -> DataFrame:
         key = F.col("c_custkey")
         return self.table("customer").select(
@@ -176,7 +176,7 @@ class Views:
         )
         return lines.join(orders, "o_orderkey").select("person_id", "day", "concept_id", "value", "result_concept_id")
 
-    # doses, episodes, outcomes ----------------------------------------------------------------------------------
+    # doses, episodes, outcomes
     def exposures(self) -> DataFrame:
         type_id = F.when(F.col("event_id") % 11 != 0, F.col("event_id") % 7).alias("type_id")
         return self.domain("signup").select("person_id", "day", "concept_id", type_id)
@@ -195,8 +195,13 @@ class Views:
         seen = self.occ().groupBy("person_id").agg(high("purchase", 100).alias("prior"), high("error", 150).alias("after"))
         return seen.withColumn("after", F.when(F.col("person_id") % 10 != 0, F.col("after")))
 
-    # notes ------------------------------------------------------------------------------------------------------
+    # notes
     def notes(self) -> DataFrame:
+        """Ten events to a note, and a note without mentions for each order."""
+        note = (-F.col("encounter_id")).alias("note_id")
+        return self.event_notes().unionByName(self.enc().select(note, "person_id", "day", (note % 7).alias("visit_id")))
+
+    def event_notes(self) -> DataFrame:
         return (
             self.occ()
             .groupBy(F.floor(F.col("event_id") / 10).alias("note_id"))
@@ -205,12 +210,11 @@ class Views:
         )
 
     def mentions(self) -> DataFrame:
-        """Events above value 25 as mentions; every 17th has no concept."""
+        """Events as mentions; every 17th has no concept."""
         sign = F.when(F.col("domain").isin("click", "view"), "Positive").when(F.col("domain") == "error", "Negated")
         concept = F.when(F.col("event_id") % 17 != 0, F.floor(F.col("concept_id") / 5)).alias("concept_id")
         return (
             self.occ()
-            .where(F.col("value") > 25)
             .select(
                 F.col("event_id").alias("mention_id"),
                 F.floor(F.col("event_id") / 10).alias("note_id"),
