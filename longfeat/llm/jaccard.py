@@ -2,16 +2,16 @@
 
 Sketch. A document's distinct word shingles are hashed to the chunks of a bit sketch, 64 bits a chunk, and each shingle
 flips one bit. Two sketches differ in no more bits than the sets differ in shingles, so a pair at the threshold, whose
-sets differ in ``d`` shingles at most, agrees on at least one of ``d + 1`` chunks (pigeonhole). ``d`` depends on the
+sets differ in ``d`` shingles at most, agrees on all but ``d`` chunks (pigeonhole); there are half as many more. ``d`` depends on the
 sizes: documents are joined in size bands, each with its own number of chunks, and a document also enters the band of
 the largest partner it can have.
 
 Flow. Equal sets form a class with its smallest document as representative. Blocks of documents send their chunk keys
-to buckets, which answer which keys another block has; only keys that two documents share become rows. Each key pairs
-its documents with its smallest one (no pairs within a group), 256-bit sketches and then exact sets are compared, and links are
+to buckets, which answer which keys another block has. A document with fewer shared keys than a partner must share has
+none; of the others all shared keys but the last few in a common order become rows (prefix filtering). Each key pairs
+its documents with its smallest one (no pairs within a group), 1024-bit sketches and then exact sets are compared, and links are
 joined to components. Where a key's documents still fall into several components, the pairs across components are
-compared too, after three bounds: sizes, distance to the key's smallest document (triangle inequality), and the Hamming
-distance of 256-bit sketches. So no link is lost.
+compared too, after two bounds: their sizes and the Hamming distance of their 1024-bit sketches. So no link is lost.
 
 Defined results: a text without words has an empty set and is linked with nothing; with fewer words than a shingle the
 whole sequence is its one shingle; a row without an id is linked with nothing (its component is null); rows that share
@@ -35,11 +35,11 @@ from longfeat.sources.storage import materialize
 
 U64 = np.uint64
 BLOCK_BYTES = 4 << 20
-BROADCAST_IDS = 1_000_000
-WIDE = 4  # 64-bit words of the sketch that leftover pairs are compared by
+BROADCAST_IDS = 300_000
+WIDE = 16  # 64-bit words of the sketch that pairs are compared by
 SKETCH = ["n", *(f"w{i}" for i in range(WIDE))]
 SIGNS = "doc long, h long, n long, s1 long, s2 long"
-FOUND = "kind byte, doc long, n long, key long, w0 long, w1 long, w2 long, w3 long"
+FOUND = "kind byte, doc long, n long, key long, " + ", ".join(f"w{i} long" for i in range(WIDE))
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,7 @@ class Rule:
             high = max(low + 1, int(low * ratio))
             if n < high:
                 d = self.most_apart(2 * (high - 1))
-                out.append((band, d + 1 + min(2, d // 8), d))
+                out.append((band, d + 1 + d // 2, d))
             low, band = high, band + 1
         return out
 
@@ -94,14 +94,15 @@ def _sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
             yield arrays.mix(arrays.gram_hashes(prints[a:b], b - a) + U64(b - a)) if b > a else np.zeros(0, U64)
 
 
-def chunk_keys(shingles: np.ndarray, rule: Rule) -> np.ndarray:
-    """The keys of a set: one for each chunk of each of its bands.
+def chunk_keys(shingles: np.ndarray, rule: Rule) -> list[tuple[np.ndarray, int]]:
+    """For each band of a set: its keys, one per chunk, and how many of them a linked partner has at least.
 
-    A chunk without a shingle says little, so it gives no key while enough others must agree.
+    Of ``chunks`` chunks at most ``d`` differ. Chunks without a shingle say little: they give no key, and count as
+    agreeing, as long as others must agree too.
     """
-    keys = []
+    keys: list[tuple[np.ndarray, int]] = []
     if not len(shingles):
-        return np.zeros(0, U64)
+        return keys
     bits = U64(1) << (shingles & U64(63))
     spread = shingles >> U64(8)
     for band, chunks, d in rule.bands(len(shingles)):
@@ -111,13 +112,15 @@ def chunk_keys(shingles: np.ndarray, rule: Rule) -> np.ndarray:
         head = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         parity = np.zeros(chunks, U64)
         parity[ordered[head]] = np.bitwise_xor.reduceat(bits[order], head)
-        which = ordered[head] if chunks - len(head) < chunks - d else np.arange(chunks)
-        keys.append(arrays.mix(arrays.mix(which.astype(U64) + U64(band << 32)) ^ parity[which]))
-    return np.concatenate(keys)
+        agree = len(head) - d
+        which = ordered[head] if agree > 0 else np.arange(chunks)
+        made = arrays.mix(arrays.mix(which.astype(U64) + U64(band << 32)) ^ parity[which])
+        keys.append((made, max(1, agree)))
+    return keys
 
 
 def wide_sketch(shingles: np.ndarray) -> list[int]:
-    """256 parity bits of a set."""
+    """1024 parity bits of a set."""
     place = arrays.mix(shingles ^ U64(0x5851F42D4C957F2D)) & U64(64 * WIDE - 1)
     flips = np.bincount(place.astype(np.int64), minlength=64 * WIDE) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").view("<i8").tolist()
@@ -138,13 +141,14 @@ def sign(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     return signs
 
 
-def block_keys(table: pa.Table, rule: Rule) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The sets of a block's texts; all their keys; and the text of each key."""
+def block_keys(table: pa.Table, rule: Rule) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sets of a block's texts; all their keys; each key's group (a text in a band); each group's text and need."""
     texts = [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
     sets = list(shingle_sets(texts, rule.words))
-    keys = [chunk_keys(x, rule) for x in sets]
-    owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    return sets, np.concatenate([*keys, np.zeros(0, U64)]), owner
+    made = [(i, keys, need) for i, x in enumerate(sets) for keys, need in chunk_keys(x, rule)]
+    group = np.repeat(np.arange(len(made)), [len(k) for _, k, _ in made])
+    owner, need = (np.array([m[at] for m in made], np.int64) for at in (0, 2))
+    return sets, np.concatenate([*(k for _, k, _ in made), np.zeros(0, U64)]), group, owner, need
 
 
 def distinct_keys(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +195,7 @@ def settle(rule: Rule, bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def found(docs: pa.Table, notes: pa.Table) -> pa.Table:
         notes = notes.to_pylist()
         chosen = {(x["doc"], x["h"]) for x in notes if x["payload"] is None}
-        sets, keys, owner = block_keys(docs, rule)
+        sets, keys, group, owner, need = block_keys(docs, rule)
         known, bucket = distinct_keys(keys, bits)
         shared = np.zeros(len(known), bool)
         for x in notes:
@@ -201,22 +205,33 @@ def settle(rule: Rule, bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 shared[lo:hi] = got.astype(bool)
         place = np.searchsorted(known, keys << U64(64 - bits) | keys >> U64(bits) if bits else keys)
         ids, h = docs.column("doc").to_pylist(), docs.column("h").to_pylist()
-        pairs = np.unique(np.stack([place, owner]), axis=1) if len(place) else np.zeros((2, 0), np.int64)
+        pairs = np.unique(np.stack([place, owner[group]]), axis=1) if len(place) else np.zeros((2, 0), np.int64)
         shared |= np.bincount(pairs[0], minlength=len(known)) > 1
         rep = np.array([(d, x) in chosen for d, x in zip(ids, h, strict=True)], bool)
-        pairs = pairs[:, shared[pairs[0]] & rep[pairs[1]]]
-        value = known[pairs[0]].view(np.int64).tolist()
-        rows = [(0, ids[i], len(sets[i]), k, *[None] * WIDE) for k, i in zip(value, pairs[1].tolist(), strict=True)]
-        rows += [(1, ids[i], len(sets[i]), None, *wide_sketch(sets[i])) for i in np.unique(pairs[1]).tolist()]
-        kinds = [pa.int8(), *[pa.int64()] * 7]
-        columns = zip(*rows, strict=True) if rows else [[]] * 8
+        mine = np.flatnonzero(shared[place] & rep[owner[group]]) if len(place) else place
+        # A linked partner shares ``need`` of a group's shared keys, so in one common order (of the keys' values) both
+        # meet in all but the last need - 1 of them; a group with fewer shared keys has no partner.
+        order = mine[np.lexsort((place[mine], group[mine]))]
+        held = np.bincount(group[order], minlength=len(owner))
+        rank = np.arange(len(order)) - (np.cumsum(held) - held)[group[order]]
+        order = order[rank < (held - need + 1)[group[order]]]
+        value, of = known[place[order]].view(np.int64).tolist(), owner[group[order]]
+        rows = [(0, ids[i], len(sets[i]), k, *[None] * WIDE) for k, i in zip(value, of.tolist(), strict=True)]
+        rows += [(1, ids[i], len(sets[i]), None, *wide_sketch(sets[i])) for i in np.unique(of).tolist()]
+        kinds = [pa.int8(), *[pa.int64()] * (3 + WIDE)]
+        columns = zip(*rows, strict=True) if rows else [[]] * (4 + WIDE)
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
 
     return found
 
 
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast a written table of documents with up to ``BROADCAST_IDS`` rows (about 150 bytes each)."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def within_sketches(pairs: DataFrame, sketches: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) that sizes and 256-bit sketches leave open."""
+    """The pairs (a, b) that sizes and 1024-bit sketches leave open."""
     for end in ("a", "b"):
         mine = sketches.select(F.col("doc").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in SKETCH))
         pairs = pairs.join(mine, end)
@@ -246,30 +261,27 @@ def sets_of(pairs: DataFrame, classes: DataFrame, texts: DataFrame, rule: Rule)
             got = shingle_sets([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], rule.words)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([x.tobytes() for x in got], pa.binary())], ["doc", "body"])
 
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return texts.join(ids, ["doc", "h"]).select("doc", "text").mapInArrow(make, "doc long, body binary")
+    return texts.join(small(ids), ["doc", "h"]).select("doc", "text").mapInArrow(make, "doc long, body binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b, apart, linked) of the pairs (a, b), from their exact sets."""
+    """(a, b, linked) of the pairs (a, b), from their exact sets."""
     one = sets.select(F.col("doc").alias("a"), F.col("body").alias("left"))
     two = sets.select(F.col("doc").alias("b"), F.col("body").alias("right"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            apart, linked = [], []
+            linked = []
             for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
                 x, y = np.frombuffer(left.as_buffer(), U64), np.frombuffer(right.as_buffer(), U64)
                 both = np.sort(np.concatenate([x, y]), kind="stable")
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
-                apart.append(len(both) - 2 * common)
                 linked.append(rule.linked(len(x), len(y), common))
-            columns = [batch.column("a"), batch.column("b"), pa.array(apart, pa.int64()), pa.array(linked, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "apart", "linked"])
+            columns = [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "linked"])
 
     joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "left", "right")
-    return joined.mapInArrow(compare, "a long, b long, apart long, linked boolean").distinct()
+    return joined.mapInArrow(compare, "a long, b long, linked boolean").distinct()
 
 
 def near_duplicates(docs: DataFrame, rule: Rule, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -294,19 +306,19 @@ def near_duplicates(docs: DataFrame, rule: Rule, block_bytes: int = BLOCK_BYTES)
     notes = chosen.unionByName(replies.withColumns({"doc": none.cast("long"), "h": none.cast("long")}))
     found = blocks.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(settle(rule, bits), FOUND)
     found = materialize(found, "sketches")
-    keys, sketches = found.where("kind = 0").select("key", "doc"), found.where("kind = 1").select("doc", *SKETCH)
+    keys, sketches = found.where("kind = 0").select("key", "doc"), small(found.where("kind = 1").select("doc", *SKETCH))
 
     hubs = keys.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub < last").drop("last")
     with_hub = keys.join(hubs, "key").where("doc > hub").select(F.col("doc").alias("a"), F.col("hub").alias("b"))
-    pairs = materialize(within_sketches(with_hub.distinct(), sketches, rule).select("a", "b"), "pairs")
+    pairs = materialize(within_sketches(with_hub, sketches, rule).select("a", "b").distinct(), "pairs")
     compared = materialize(verify(pairs, sets_of(pairs, classes, keyed, rule), rule), "compared")
 
     same_id = signs.join(classes, ["s1", "s2", "n"]).groupBy("doc").agg(F.min("rep").alias("b"), F.max("rep").alias("a"))
     links = compared.where("linked").select("a", "b").union(same_id.where("b < a").select("a", "b"))
     links = materialize(links.where("a <> b"), "links")
-    labels = components(links, "a", "b")
+    labels = materialize(components(links, "a", "b"), "labels")
 
-    left = materialize(leftover(keys, sketches, hubs, compared, labels, rule), "leftover")
+    left = materialize(leftover(keys, sketches, compared, labels, rule), "leftover")
     more = None
     if not left.isEmpty():
         more = materialize(verify(left, sets_of(left, classes, keyed, rule), rule).where("linked").select("a", "b"), "more")
@@ -319,22 +331,16 @@ def near_duplicates(docs: DataFrame, rule: Rule, block_bytes: int = BLOCK_BYTES)
     return joined.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def leftover(
-    keys: DataFrame, sketches: DataFrame, hubs: DataFrame, compared: DataFrame, labels: DataFrame, rule: Rule
-) -> DataFrame:
-    """Pairs (a, b) of one key in different components that the bounds leave open and that were not compared yet."""
-    labelled = keys.join(labels.withColumnRenamed("node", "doc"), "doc", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "doc"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    mixed = mixed.where("least < most").select("key").join(hubs, "key")
-    apart = compared.select(F.col("a").alias("doc"), F.col("b").alias("hub"), "apart")
-    rows = labelled.join(mixed, "key").join(sketches, "doc").join(apart, ["doc", "hub"], "left")
-    rows = rows.withColumn("apart", F.when(F.col("doc") == F.col("hub"), F.lit(0)).otherwise(F.col("apart")))
-    columns = ["doc", "component", "apart", *SKETCH]
+def leftover(keys: DataFrame, sketches: DataFrame, compared: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of one key in different components that the bounds leave open and that were not compared yet.
+
+    Narrow rows (key, document) are shuffled once; components and sketches join them where they have arrived.
+    """
+    placed = keys.repartition("key").join(small(labels.withColumnRenamed("node", "doc")), "doc", "left")
+    rows = placed.withColumn("component", F.coalesce("component", "doc")).join(sketches, "doc")
+    columns = ["doc", "component", *SKETCH]
     x = rows.select("key", *(F.col(c).alias(f"x_{c}") for c in columns))
     y = rows.select("key", *(F.col(c).alias(f"y_{c}") for c in columns))
-    most = most_apart(F.col("x_n") + F.col("y_n"), rule)
     wanted = (F.col("x_doc") > F.col("y_doc")) & (F.col("x_component") != F.col("y_component")) & open_pair("x", "y", rule)
-    wanted &= F.coalesce(F.abs(F.col("x_apart") - F.col("y_apart")) <= most, F.lit(True))
     pairs = x.join(y, "key").where(wanted).select(F.col("x_doc").alias("a"), F.col("y_doc").alias("b")).distinct()
     return pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
