@@ -4,7 +4,8 @@
    anchors, so only pieces of one anchor need be compared.
 2. Documents are hashed into blocks. A block sends, for each distinct (anchor, piece) in it, short hashes and its
    smallest document to the anchor's bucket; buckets answer with one status byte each. That settles every piece that
-   stands unchanged in an earlier document (by 80 bits of hashes or more) and every anchor that only one document has.
+   stands unchanged in an earlier document (by the anchor's hash, which grows with the input, and 64 bits of the
+   piece's own) and every anchor that only one document has.
 3. Pieces that differ from others of their anchor are *contested*: their texts go to their anchor, where the operator's
    own method compares them. An anchor with very many different pieces is *hot*: its windows are exploded, combined
    before the shuffle and joined, so no group of unbounded size meets in a task.
@@ -122,11 +123,10 @@ def some(texts: list[bytes], limit: int = arrays.SLICE_BYTES) -> Iterator[tuple[
 
 @dataclass(frozen=True)
 class Shape:
-    """2**bits buckets; bytes of an anchor's hash that are sent besides its bucket, and of a piece's hash."""
+    """2**bits buckets; bytes of an anchor's hash that are sent besides its bucket. A piece's hash is sent whole."""
 
     bits: int
     key: int
-    value: int = 5
 
     @classmethod
     def of(cls, total: int, block_bytes: int) -> Shape:
@@ -141,10 +141,9 @@ def entries(anchor: np.ndarray, phrase: np.ndarray, doc: np.ndarray, shape: Shap
     ``which`` maps pieces to entries, ``sent`` marks the ones that go to buckets (of a hot anchor only the first few).
     """
     key = anchor >> np.uint64(shape.bits) & np.uint64((1 << 8 * shape.key) - 1)
-    value = phrase & np.uint64((1 << 8 * shape.value - 1) - 1)
     bucket = (anchor & np.uint64((1 << shape.bits) - 1)).astype(np.int64)
-    order = np.lexsort((doc, value, key, bucket))
-    b, k, v, d = bucket[order], key[order], value[order], doc[order]
+    order = np.lexsort((doc, phrase, key, bucket))
+    b, k, v, d = bucket[order], key[order], phrase[order], doc[order]
     new_anchor = np.ones(len(k), bool)
     new_anchor[1:] = (b[1:] != b[:-1]) | (k[1:] != k[:-1])
     new = new_anchor.copy()
@@ -159,27 +158,27 @@ def entries(anchor: np.ndarray, phrase: np.ndarray, doc: np.ndarray, shape: Shap
 
 
 def pack_entries(e: dict[str, np.ndarray], at: np.ndarray, least: int, shape: Shape) -> bytes:
-    """Anchor, piece with a flag in its top bit, document less the block's smallest; each in as few bytes as it takes."""
-    value = e["value"][at] | e["many"][at].astype(np.uint64) << np.uint64(8 * shape.value - 1)
+    """A bit for each hot anchor's entry, then anchor, piece, document less the block's smallest in the bytes they take."""
     delta = (e["doc"][at] - least).astype(np.uint64)
     width = max(1, -(-int(delta.max()).bit_length() // 8)) if len(delta) else 1
-    parts = [(e["key"][at], shape.key), (value, shape.value), (delta, width)]
+    parts = [(e["key"][at], shape.key), (e["value"][at], 8), (delta, width)]
     columns = [x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n] for x, n in parts]
-    return np.int64(least).tobytes() + np.concatenate(columns, axis=1).tobytes()
+    return np.int64(least).tobytes() + np.packbits(e["many"][at]).tobytes() + np.concatenate(columns, axis=1).tobytes()
 
 
 def read_entries(payload: bytes, n: int, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    rows = np.frombuffer(payload, np.uint8, offset=8).reshape(n, -1)
+    flags = -(-n // 8)
+    many = np.unpackbits(np.frombuffer(payload, np.uint8, flags, 8), count=n).astype(bool)
+    rows = np.frombuffer(payload, np.uint8, offset=8 + flags).reshape(n, -1)
 
     def number(a: int, b: int) -> np.ndarray:
         wide = np.zeros((n, 8), np.uint8)
         wide[:, : b - a] = rows[:, a:b]
         return wide.view("<u8").ravel()
 
-    flag, split = np.uint64(8 * shape.value - 1), shape.key + shape.value
-    value = number(shape.key, split)
+    split = shape.key + 8
     doc = number(split, rows.shape[1]).astype(np.int64) + np.frombuffer(payload, "<i8", 1)[0]
-    return number(0, shape.key), value & ((np.uint64(1) << flag) - np.uint64(1)), doc, value >> flag > 0
+    return number(0, shape.key), number(shape.key, split), doc, many
 
 
 class Block:

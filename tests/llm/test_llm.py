@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
-from longfeat.llm import arrays, chat, decontaminate, eliasfano, graph, jaccard, linededup, lpf, packing, quality, rlz, tokenfile  # noqa: E402
+from longfeat.llm import arrays, chat, decontaminate, eliasfano, graph, jaccard, linededup, lpf, packing, quality, repeats, rlz, tokenfile  # noqa: E402
 from longfeat.llm.counting import PieceCounter, token_counts  # noqa: E402
 from longfeat.llm.oracle import ORACLE  # noqa: E402
 from longfeat.llm.queries import QUERIES  # noqa: E402
@@ -128,6 +129,25 @@ def test_repeats(case, unit, many):
     assert plain(got) == plain(brute.repeats(rows, unit == "words"))
 
 
+def test_runs_of_an_anchor_are_told_apart_by_whole_hashes():
+    """Two runs whose hashes differ in the upper bits only are contested, in a block and across blocks."""
+    shape = repeats.Shape.of(1 << 34, repeats.BLOCK_BYTES)
+    anchor = np.full(2, 77, np.uint64)
+    for bit in (39, 47, 63):
+        phrase = np.array([5, 5 | 1 << bit], np.uint64)
+        one = repeats.entries(anchor, phrase, np.array([1, 2]), shape, 8)
+        assert one["which"].tolist() == [0, 1]
+        sent = [repeats.entries(anchor[:1], phrase[i : i + 1], np.array([i + 1]), shape, 8) for i in (0, 1)]
+        payload = [repeats.pack_entries(e, np.array([0]), int(e["doc"][0]), shape) for e in sent]
+        asked = pa.table({"bucket": [77, 77], "block": [0, 1], "n": pa.array([1, 1], pa.int32()), "payload": payload})
+        replies = repeats.statuses(asked, shape, 4096).column("payload").to_pylist()
+        assert [zlib.decompress(x) for x in replies] == [bytes([repeats.CONTESTED])] * 2
+    some = repeats.entries(np.arange(20, dtype=np.uint64) // 10, np.arange(20, dtype=np.uint64) << 59, np.arange(20) - 7, shape, 8)
+    at = np.flatnonzero(some["sent"])
+    got = repeats.read_entries(repeats.pack_entries(some, at, -7, shape), len(at), shape)
+    assert [x.tolist() for x in got] == [some[c][at].tolist() for c in ("key", "value", "doc", "many")]
+
+
 def test_repeats_return_text(odd_docs, odd):
     got = {r.kept_sha256: bytes(r.kept) for r in lpf.dedup_bytes(odd_docs, with_text=True).collect()}
     assert all(brute.sha(x) == s for s, x in got.items())
