@@ -313,8 +313,7 @@ def near_duplicates(docs: DataFrame, rule: Rule, block_bytes: int = BLOCK_BYTES)
     pairs = materialize(within_sketches(with_hub, sketches, rule).select("a", "b").distinct(), "pairs")
     compared = materialize(verify(pairs, sets_of(pairs, classes, keyed, rule), rule), "compared")
 
-    same_id = signs.join(classes, ["s1", "s2", "n"]).groupBy("doc").agg(F.min("rep").alias("b"), F.max("rep").alias("a"))
-    links = compared.where("linked").select("a", "b").union(same_id.where("b < a").select("a", "b"))
+    links = compared.where("linked").select("a", "b").union(one_document(signs, classes))
     links = materialize(links.where("a <> b"), "links")
     labels = materialize(components(links, "a", "b"), "labels")
 
@@ -326,11 +325,22 @@ def near_duplicates(docs: DataFrame, rule: Rule, block_bytes: int = BLOCK_BYTES)
         labels = components(links.union(more), "a", "b")
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
-    joined = signs.join(named, ["s1", "s2", "n"], "left")
+    with_set = signs.where("n > 0").join(named, ["s1", "s2", "n"], "left")
+    # A row with an empty set is in no class; its id has a component where other rows of the id have links.
+    without = signs.where("n = 0").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
+    joined = with_set.unionByName(without)
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
     return joined.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def one_document(signs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): an id whose rows have different sets, and the representative of each of them."""
+    ends = (f(F.struct("s1", "s2", "n")).alias(f.__name__) for f in (F.min, F.max))
+    several = signs.where("doc is not null").groupBy("doc").agg(*ends).where("min <> max").select("doc")
+    of = signs.where("n > 0").join(several, "doc").join(classes, ["s1", "s2", "n"])
+    return of.select(F.col("doc").alias("a"), F.col("rep").alias("b")).distinct()
+
+
 def leftover(keys: DataFrame, sketches: DataFrame, compared: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) of one key in different components that the bounds leave open and that were not compared yet.
 

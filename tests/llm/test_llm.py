@@ -337,6 +337,18 @@ def test_chains_of_near_duplicates(lspark):
         assert plain(got) == plain(brute.components(rows, rule.words, rule.percent))
 
 
+def test_rows_of_an_id_are_one_document(lspark):
+    """All texts of an id link, an empty one too; rows without an id link nothing."""
+    text = {c: " ".join(f"{c}{i}" for i in range(30)) for c in "abcdefghi"}
+    rows = [(3, text["a"]), (9, text["b"]), (None, text["a"]), (None, text["b"])]
+    rows += [(1, text["c"]), (4, text["d"]), (6, text["e"]), *((50, text[c]) for c in "cde")]
+    rows += [(10, text["f"]), (60, text["f"]), (60, ""), (61, ""), (61, None), (None, ""), (62, text["g"]), (62, "")]
+    rows += [(70, text["h"]), (71, text["i"]), (80, text["h"]), (80, text["i"]), (80, text["g"])]
+    docs = lspark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard.near_duplicates(docs, jaccard.Rule(3, 90), block_bytes=1 << 12).collect()
+    assert plain(got) == plain(brute.components(rows, 3, 90))
+
+
 def test_sketch_never_loses_a_pair():
     """Sets at the threshold share a key, whatever their sizes."""
     rng = np.random.default_rng(5)
