@@ -2,9 +2,10 @@ r"""Quality rules: base counts of each text, and its divergence from its languag
 
 A text's histogram of character classes and its histogram of common words are compared with the totals of its
 language over all documents that pass the base rules, by Jensen-Shannon distance (0 to 1). Guards: a text with fewer
-than ``least_chars`` characters or ``least_words`` words gets no verdict from the respective histogram, nor does one
-whose language has fewer than ``least_docs`` such documents. A null text has no words (it fails the base rules); a null
-language is a language of its own. Rows are judged one by one, repeated ids too.
+than ``least_chars`` characters or ``least_words`` words gets no verdict from the respective histogram. The reference
+of a language with fewer than ``least_docs`` such documents is smoothed towards the total of all languages, the more the
+fewer it has. A null text has no words (it fails the base rules); a null language is a language of its own. Rows are
+judged one by one, repeated ids too.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 HISTOGRAMS = ["classes", "common"]
 VERDICTS = ["base_failed", "class_distance", "word_distance", "kept"]
 BROADCAST_LANGUAGES = 10_000
+#: What the total of all languages weighs beside a language's first documents, in documents; it falls to 0 at least_docs.
+SMOOTHING_DOCS = 10
 
 
 def _class_table() -> np.ndarray:
@@ -164,14 +167,29 @@ def distance(counts: Column, reference: Column) -> Column:
 
 
 def language_histograms(docs: DataFrame, least_docs: int = 100) -> DataFrame:
-    """(__lang, ref_classes, ref_common): totals per language over its documents that pass the base rules."""
+    """(__lang, ref_classes, ref_common): totals per language over its documents that pass the base rules.
+
+    With fewer than ``least_docs`` documents: its shares mixed with those of all languages. The totals are written.
+    """
     counted = measure(docs.select("lang", "text"), ["lang"]).where(~base_failed())
     sums = [
         F.array(*(F.sum(F.col(c)[i]).cast("double") for i in range(n))).alias(f"ref_{c}")
         for c, n in zip(HISTOGRAMS, (len(CLASSES), len(WORDS) + 1), strict=True)
     ]
     totals = counted.groupBy(F.col("lang").alias("__lang")).agg(F.count("*").alias("__docs"), *sums)
-    return totals.where(F.col("__docs") >= least_docs).drop("__docs")
+    totals = materialize(totals, "languages")
+    wide = zip(HISTOGRAMS, (len(CLASSES), len(WORDS) + 1), strict=True)
+    every = totals.agg(*(F.array(*(F.sum(F.col(f"ref_{c}")[i]) for i in range(n))).alias(f"all_{c}") for c, n in wide))
+    prior = SMOOTHING_DOCS * (1 - F.col("__docs") / least_docs)
+    own = F.col("__docs") / (F.col("__docs") + prior)
+    size = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+    def smoothed(c: str) -> Column:
+        mine, total = F.col(f"ref_{c}"), F.col(f"all_{c}")
+        mixed = F.zip_with(mine, total, lambda a, b: own * a / size(mine) + (1 - own) * b / size(total))
+        return F.when(F.col("__docs") >= least_docs, mine).otherwise(mixed).alias(f"ref_{c}")
+
+    return totals.crossJoin(F.broadcast(every)).select("__lang", *(smoothed(c) for c in HISTOGRAMS))
 
 
 def judge(
@@ -189,7 +207,7 @@ def judge(
     """
     keep = [c for c in docs.columns if c not in (*COUNTS, *HISTOGRAMS, *VERDICTS)]
     base = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
-    reference = materialize(language_histograms(base, least_docs), "languages")
+    reference = language_histograms(base, least_docs)
     if reference.count() <= BROADCAST_LANGUAGES:
         reference = F.broadcast(reference)
     measured = measure(base, list(dict.fromkeys([*keep, "lang"])))

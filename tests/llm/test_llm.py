@@ -117,6 +117,19 @@ def test_quality_keeps_labelled_good(lspark, mid_root):
     assert kept[1] > 0.995 and kept[0] < 0.25
 
 
+def test_quality_judges_rare_languages(lspark, mid_root):
+    """Spanish has 94 documents that pass the base rules here; null and "xx" have one each."""
+    docs = lspark.read.parquet(f"{mid_root}/documents.parquet").select("doc_id", "lang", "text")
+    junk = " ".join(f"{i * 7919 % 1000}#{i}|{i * 31}" for i in range(200))
+    rare = lspark.createDataFrame([(-1, None, junk), (-2, "xx", junk)], "doc_id long, lang string, text string")
+    judged = quality.judge(docs.unionByName(rare)).where("not base_failed")
+    got = {r.doc_id: r for r in judged.collect()}
+    assert not any(got[d].kept for d in (-1, -2, 40, 165, 415, 840))
+    assert all(r.class_distance is not None for r in got.values() if len(r.text) >= 300)
+    good = {r.doc_id for r in lspark.read.parquet(f"{mid_root}/labels.parquet").where("quality = 1").collect()}
+    assert all(r.kept for d, r in got.items() if d in good and r.lang == "es")
+
+
 # op2, op8
 @pytest.mark.parametrize("unit", ["words", "bytes"])
 @pytest.mark.parametrize("many", [(4096, 8), (1, 8), (4096, 1)])
