@@ -1,5 +1,7 @@
 """DuckDB twins of the training-data queries where SQL expresses them."""
 
+from longfeat.llm import licenses
+
 WHITE = r"[\x20\x09-\x0D]"
 
 #: Conversations as lists of their turns, each turn the sorted list of its rows.
@@ -76,9 +78,68 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m.component_id
 FROM docs d LEFT JOIN sizes USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) m USING (doc_id)
 """
 
+#: Every place of every template by joining all its words; base phrases need all of them.
+_TEMPLATES = ", ".join(
+    f"({k}, '{t.label}', {t.base}, {i}, '{w}', {i in t.mandatory()})"
+    for k, t in enumerate([*licenses.BASE, *licenses.NOTICES])
+    for i, w in enumerate(t.words)
+)
+LICENSES = rf"""
+WITH templates(template, label, base, rank, word, must) AS (VALUES {_TEMPLATES}),
+docs AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+words AS (SELECT row, unnest(w) AS word, unnest(range(len(w))) AS i FROM docs),
+weights AS (
+  SELECT word, ln(1 + (SELECT count(*) FROM docs) / (1 + count(DISTINCT row))) + 1e-6 AS weight
+  FROM (SELECT DISTINCT word FROM templates) LEFT JOIN words USING (word) GROUP BY word
+),
+totals AS (SELECT template, sum(weight) AS total, count(*) FILTER (WHERE must) AS needed FROM templates JOIN weights USING (word) GROUP BY template),
+stands AS (
+  SELECT row, template, any_value(label) AS label, any_value(base) AS base, i - rank AS start, sum(weight) / any_value(total) AS share
+  FROM words JOIN templates USING (word) JOIN weights USING (word) JOIN totals USING (template)
+  GROUP BY row, template, i - rank HAVING count(*) FILTER (WHERE must) = any_value(needed) AND sum(weight) / any_value(total) >= {licenses.SHARE}
+),
+found AS (
+  SELECT row, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+    max(share) AS score
+  FROM stands GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(round(score, 6), 0) AS score
+FROM docs LEFT JOIN found USING (row)
+"""
+
+MIDDLES = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+),
+numbers AS (
+  SELECT *, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM drawn
+),
+cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers
+),
+parts AS (
+  SELECT *, '<P>' || substring(text, 1, a) AS prefix, '<M>' || substring(text, a + 1, b - a) AS middle, '<S>' || substring(text, b + 1) AS suffix FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN prefix || suffix || middle ELSE suffix || prefix || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
 ORACLE: dict[str, str] = {
     "op2_relative_lempel_ziv": WORD_WINDOWS,
     "op4_snapshot_collapse": SNAPSHOTS,
     "op5_line_dedup": LINES,
     "op10_parity_sketch_join": SHINGLES,
+    "op11_rare_token_index": LICENSES,
+    "op13_displacement_scatter": MIDDLES,
 }

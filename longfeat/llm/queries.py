@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longfeat.llm import chat, counting, decontaminate, jaccard, linededup, lpf, packing, quality, rlz, tokenfile
+from longfeat.llm import chat, counting, decontaminate, fim, jaccard, licenses, linededup, lpf, packing, quality, rlz, tokenfile, whitening
 from longfeat.sources.storage import fresh_path
 
 
@@ -83,6 +83,28 @@ def op10_parity_sketch_join(spark: SparkSession, root: str) -> DataFrame:
     return jaccard.near_duplicates(docs, jaccard.Rule(words=3, percent=90))
 
 
+def op11_rare_token_index(spark: SparkSession, root: str) -> DataFrame:
+    return licenses.scan(table(spark, root, "documents").select("doc_id", "text")).drop("text")
+
+
+def op12_polarisation_covariance(spark: SparkSession, root: str) -> DataFrame:
+    return whitening.whiten(table(spark, root, "embeddings"), most=32)
+
+
+def op13_displacement_scatter(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    back = fim.restore(fim.transform(docs).drop("text"))
+    return back.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -96,5 +118,8 @@ QUERIES = {
         op8_longest_previous_factor,
         op9_rank_synchronous_counts,
         op10_parity_sketch_join,
+        op11_rare_token_index,
+        op12_polarisation_covariance,
+        op13_displacement_scatter,
     )
 }
