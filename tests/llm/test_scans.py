@@ -114,7 +114,7 @@ ODD_VECTORS = [
     (8, [0.5, 0.5]),
     (9, []),
     (10, [-0.001, 12.0, -7.0]),
-    (11, [5e9, 12.0, 1.0]),
+    (11, [900.0, 12.0, 1.0]),
     (12, [0.4, 1.0, -0.3]),
 ]
 
