@@ -1,10 +1,11 @@
 """Near-duplicate documents by n-gram Jaccard similarity: a parity-sketch join with exact verification.
 
-Sketch. A document's distinct word shingles are hashed to the chunks of a bit sketch, 64 bits a chunk, and each shingle
-flips one bit. Two sketches differ in no more bits than the sets differ in shingles, so a pair at the threshold, whose
-sets differ in ``d`` shingles at most, agrees on all but ``d`` chunks (pigeonhole); there are half as many more. ``d`` depends on the
-sizes: documents are joined in size bands, each with its own number of chunks, and a document also enters the band of
-the largest partner it can have.
+Sketch. A document's distinct word shingles are hashed to the chunks of a sketch, 64 bits a chunk, and each chunk holds
+the XOR of its shingles' hashes. Two sketches differ in no more chunks than the sets differ in shingles, so a pair at the
+threshold, whose sets differ in ``d`` shingles at most, agrees on all but ``d`` chunks (pigeonhole); there are half as
+many more. ``d`` depends on the sizes: documents are joined in size bands, each with its own number of chunks, and a
+document also enters the band of the largest partner it can have. Where ``d`` is 0 only equal sets link. A second sketch
+of 1024 parity bits, one flipped by each shingle, bounds the difference of a candidate pair by its Hamming distance.
 
 Flow. Equal sets form a class with its smallest document as representative. Blocks of documents send their chunk keys
 to buckets, which answer which keys another block has. A document with fewer shared keys than a partner must share has
@@ -103,15 +104,16 @@ def chunk_keys(shingles: np.ndarray, rule: Rule) -> list[tuple[np.ndarray, int]]
     keys: list[tuple[np.ndarray, int]] = []
     if not len(shingles):
         return keys
-    bits = U64(1) << (shingles & U64(63))
     spread = shingles >> U64(8)
     for band, chunks, d in rule.bands(len(shingles)):
+        if not d:
+            continue  # linked sets are equal, and equal sets are one class
         chunk = (spread % U64(chunks)).astype(np.int64)
         order = np.argsort(chunk, kind="stable")
         ordered = chunk[order]
         head = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         parity = np.zeros(chunks, U64)
-        parity[ordered[head]] = np.bitwise_xor.reduceat(bits[order], head)
+        parity[ordered[head]] = np.bitwise_xor.reduceat(shingles[order], head)
         agree = len(head) - d
         which = ordered[head] if agree > 0 else np.arange(chunks)
         made = arrays.mix(arrays.mix(which.astype(U64) + U64(band << 32)) ^ parity[which])
