@@ -195,13 +195,16 @@ def language_histograms(docs: DataFrame, least_docs: int = 100) -> DataFrame:
 def judge(
     docs: DataFrame,
     most_class_distance: float = 0.32,
-    most_word_distance: float = 0.3,
+    most_word_distance: float = 0.16,
     least_chars: int = 300,
-    least_words: int = 150,
+    least_words: int = 50,
     least_docs: int = 100,
+    short_words: float = 1.5,
 ) -> DataFrame:
     """The documents with the base counts, ``base_failed``, both distances (null where a guard holds) and ``kept``.
 
+    A short text's words vary more: the word distance may be ``most_word_distance`` + ``short_words`` / root of n_words.
+
     Two passes over the texts: one for the languages' histograms, one for the verdicts. The histograms (under 1 kB a
     language) are broadcast up to ``BROADCAST_LANGUAGES`` of them. Input columns named like an output are replaced.
     """
@@ -222,5 +225,6 @@ def judge(
         }
     )
     near = F.coalesce(F.col("class_distance") <= most_class_distance, F.lit(True))
-    near &= F.coalesce(F.col("word_distance") <= most_word_distance, F.lit(True))
+    limit = most_word_distance + short_words / F.sqrt("n_words")
+    near &= F.coalesce(F.col("word_distance") <= limit, F.lit(True))
     return judged.withColumn("kept", ~F.col("base_failed") & near).select(*keep, *COUNTS, *VERDICTS)
