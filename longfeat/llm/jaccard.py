@@ -166,6 +166,7 @@ def send(rule: Rule, bits: int) -> Callable[[pa.Table], pa.Table]:
         stop = np.append(begin[1:], len(keys))[: len(begin)]
         short = keys.view(np.uint8).reshape(-1, 8)[:, :6]
         payload = [short[a:b].tobytes() for a, b in zip(begin, stop, strict=True)]
+        arrays.give_back()
         block = pa.array([table.column("block")[0].as_py()] * len(begin), pa.int64())
         return pa.table([pa.array(bucket[begin], pa.int64()), block, pa.array(payload, pa.binary())], ["bucket", "block", "payload"])
 
@@ -220,6 +221,7 @@ def settle(rule: Rule, bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         value, of = known[place[order]].view(np.int64).tolist(), owner[group[order]]
         rows = [(0, ids[i], len(sets[i]), k, *[None] * WIDE) for k, i in zip(value, of.tolist(), strict=True)]
         rows += [(1, ids[i], len(sets[i]), None, *wide_sketch(sets[i])) for i in np.unique(of).tolist()]
+        arrays.give_back()
         kinds = [pa.int8(), *[pa.int64()] * (3 + WIDE)]
         columns = zip(*rows, strict=True) if rows else [[]] * (4 + WIDE)
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
@@ -263,7 +265,7 @@ def sets_of(pairs: DataFrame, classes: DataFrame, texts: DataFrame, rule: Rule)
             got = shingle_sets([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], rule.words)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([x.tobytes() for x in got], pa.binary())], ["doc", "body"])
 
-    return texts.join(small(ids), ["doc", "h"]).select("doc", "text").mapInArrow(make, "doc long, body binary")
+    return texts.join(small(ids), ["doc", "h"]).select("doc", "text").mapInArrow(arrays.tidy(make), "doc long, body binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -283,7 +285,7 @@ def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["a", "b", "linked"])
 
     joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "left", "right")
-    return joined.mapInArrow(compare, "a long, b long, linked boolean").distinct()
+    return joined.mapInArrow(arrays.tidy(compare), "a long, b long, linked boolean").distinct()
 
 
 def near_duplicates(docs: DataFrame, rule: Rule, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -291,7 +293,7 @@ def near_duplicates(docs: DataFrame, rule: Rule, block_bytes: int = BLOCK_BYTES)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks, bits = max(1, total // block_bytes), max(0, total // block_bytes).bit_length()
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("h"), "text")
-    signs = materialize(keyed.mapInArrow(sign(rule), SIGNS), "signs")
+    signs = materialize(keyed.mapInArrow(arrays.tidy(sign(rule)), SIGNS), "signs")
     classes = signs.where("n > 0 and doc is not null").groupBy("s1", "s2", "n").agg(
         F.min("doc").alias("rep"), F.min_by("h", F.struct("doc", "h")).alias("rep_h"), F.count("*").alias("size")
     )

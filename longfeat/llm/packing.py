@@ -118,7 +118,7 @@ def pack_partitions(docs: DataFrame, path: str, size: int = 2048, end_id: int =
             add(window, is_open)
         yield out()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(arrays.tidy(pieces), PIECES)
 
 
 def merge_leftovers(left: DataFrame, size: int = 2048) -> DataFrame:

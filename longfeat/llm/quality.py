@@ -142,7 +142,7 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
                     columns.append(pa.ListArray.from_arrays(offsets, pa.array(wide.ravel())))
                 yield pa.RecordBatch.from_arrays(columns, [*keep, *COUNTS, *HISTOGRAMS])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(count, schema)
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(arrays.tidy(count), schema)
 
 
 def base_failed() -> Column:
