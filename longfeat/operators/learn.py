@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
@@ -14,10 +15,13 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import CountVectorizerModel, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from longfeat.operators.metrics import candidate_losses
+from longfeat.operators.cohort import hash_position
+from longfeat.operators.metrics import candidate_losses, log_loss
+from longfeat.sources.storage import materialize
 from longfeat.sources.tables import inline
 
 WEIGHT = "class_weight"
@@ -186,6 +190,67 @@ def ensemble(
     )
 
 
+def logistic_gradient(model: PipelineModel, table: DataFrame, penalty: float, weight: str | None = None) -> DataFrame:
+    """(place, gradient): what the penalised mean cross-entropy of a linear model rises by, per unit of each weight.
+
+    At the optimum every entry is 0. ``table`` has the features the model was fitted on, ``outcome`` and the ``weight``
+    column; place -1 is the intercept, which no penalty holds. One pass over all rows; a row brings its values that
+    are not 0, combined before the shuffle.
+    """
+    last = model.stages[-1]
+    w = F.col(weight) if weight else F.lit(1.0)
+    scored = model.transform(table).select(vector_to_array("features").alias("x"), vector_to_array("probability")[1].alias("p"), F.col("outcome").alias("y"), w.alias("w"))
+    residual = F.col("w") * (F.col("p") - F.col("y"))
+    held = F.filter(F.transform("x", lambda v, i: F.struct(i.alias("place"), v.alias("v"))), lambda c: c["v"] != 0)
+    total = scored.agg(F.sum("w")).scalar()
+    each = F.concat(F.array(F.struct(F.lit(-1).alias("place"), F.lit(1.0).alias("v"))), held)
+    sums = scored.select(residual.alias("r"), F.inline(each)).groupBy("place").agg(F.sum(F.col("r") * F.col("v")).alias("s"))
+    weights = [(-1, 0.0), *enumerate(float(c) for c in last.coefficients.toArray())]
+    known = inline(table.sparkSession, weights, "place int, coefficient double")
+    slope = F.coalesce(F.col("s"), F.lit(0.0)) / total + F.col("coefficient") * penalty
+    return known.join(sums, "place", "left").select("place", slope.alias("gradient"))
+
+
+def fold_of(key: str, folds: int, seed: int = 0) -> Column:
+    """A key's fold, the same in every run."""
+    return F.pmod(hash_position(key, seed), F.lit(folds)).cast("int")
+
+
+def grid_losses(scored: DataFrame, label: str, scores: Mapping[str, str], fold: str = "fold") -> DataFrame:
+    """(candidate, fold, rows, loss): mean cross-entropy of every score column on every fold, in one aggregate."""
+    losses = [log_loss(F.col(label), F.col(c)).alias(f"__{i}") for i, c in enumerate(scores.values())]
+    each = scored.groupBy(fold).agg(F.count(F.lit(1)).alias("rows"), *losses)
+    lines = [F.struct(F.lit(n).alias("candidate"), F.col(f"__{i}").alias("loss")) for i, n in enumerate(scores)]
+    return each.select(F.col(fold).alias("fold"), "rows", F.inline(F.array(*lines))).select("candidate", "fold", "rows", "loss")
+
+
+def grid_ranks(losses: DataFrame) -> DataFrame:
+    """(candidate, loss, spread, rank): candidates by their mean loss over all rows; equal losses go by name."""
+    mean = F.sum(F.col("loss") * F.col("rows")) / F.sum("rows")
+    means = losses.groupBy("candidate").agg(mean.alias("loss"), (F.max("loss") - F.min("loss")).alias("spread"))
+    return means.withColumn("rank", F.row_number().over(Window.orderBy("loss", "candidate")))  # a row per candidate
+
+
+def grid_search(
+    table: DataFrame, specs: Mapping[str, Sequence[Estimator]], folds: int = 3, seed: int = 0, key: str = "person_id"
+) -> tuple[str, PipelineModel, DataFrame]:
+    """The best of ``specs`` by cross-validation, fitted again on all rows, and the losses of ``grid_losses``.
+
+    ``table`` has the key, ``features`` and ``outcome``. Every row is scored once, by the models that were fitted
+    without its fold; the scores of all candidates and folds are judged in one aggregate.
+    """
+    placed = table.withColumn("fold", fold_of(key, folds, seed))
+    parts = []
+    for fold in range(folds):
+        models = fit_vectors(placed.where(F.col("fold") != fold), specs)
+        held = placed.where(F.col("fold") == fold)
+        parts.append(score_vectors(models, held, key).join(held.select(key, "fold", "outcome"), key))
+    scored = reduce(DataFrame.unionByName, parts)
+    losses = materialize(grid_losses(scored, "outcome", {n: n for n in specs}), "grid")
+    best = grid_ranks(losses).where("rank = 1").first().candidate
+    return best, fit_vectors(table, {best: specs[best]})[best], losses
+
+
 def model_weights(model: PipelineModel) -> list[float]:
     """Feature importances of a tree ensemble or coefficients of a linear model."""
     last = model.stages[-1]

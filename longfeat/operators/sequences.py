@@ -7,13 +7,22 @@ lookback has days.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
+from longfeat.operators.cohort import hash_position
 from longfeat.plans.defaults import REFERENCE_POINTS, TIME_DIMENSION
 
+BATCH_SLICES = 64
+#: What a worker holds at once when it resamples: weights of so many steps, sums of so many persons.
+STEPS, PERSONS = 4096, 512
+
 
 def observed_features(df: DataFrame, columns: Sequence[str]) -> list[str]:
     """Columns with at least one value (one row of counts comes back)."""
@@ -118,25 +127,112 @@ def pad_sequences(seqs: DataFrame, features: Sequence[str], length: int | None =
     )
 
 
+def batch_sequences(seqs: DataFrame, size: int, key: str = "person_id", seed: int = 0) -> DataFrame:
+    """The sequences with ``batch`` and ``batch_length``: ``size`` sequences to a batch, in order of length.
+
+    Sequences of like length share a batch, so padding to the longest of a batch adds few cells; those of equal length
+    are shuffled by a seeded hash of the person. The number in that order is exact without sorting everything in one
+    task: sequences are counted by (length, slice of the hash range), at most longest x ``BATCH_SLICES`` rows whose
+    running counts are offsets, and ranked inside their own slice. A null sequence counts as empty. The last batch
+    may be smaller.
+    """
+    place = hash_position(key, seed)
+    sized = seqs.withColumns({"__length": F.greatest(F.coalesce(F.size("steps"), F.lit(0)), F.lit(0)), "__place": place})
+    sized = sized.withColumn("__slice", F.floor(F.col("__place") / (2**32 // BATCH_SLICES)).cast("int"))
+    counts = sized.groupBy("__length", "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    # A length's slices are summed in its own group; only one row for each length meets in one task.
+    lengths = counts.groupBy("__length").agg(F.sum("__n").alias("__all"))
+    shorter = Window.orderBy("__length").rowsBetween(Window.unboundedPreceding, -1)
+    lengths = lengths.select("__length", F.coalesce(F.sum("__all").over(shorter), F.lit(0)).alias("__shorter"))
+    earlier = Window.partitionBy("__length").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = counts.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).join(lengths, "__length")
+    inside = F.row_number().over(Window.partitionBy("__length", "__slice").orderBy("__place", key))
+    ranked = sized.withColumn("__inside", inside).join(slices.drop("__n"), ["__length", "__slice"])
+    number = F.col("__shorter") + F.col("__before") + F.col("__inside") - 1
+    placed = ranked.withColumn("batch", F.floor(number / F.lit(size)))
+    longest_of = placed.groupBy("batch").agg(F.max("__length").alias("batch_length"))
+    return placed.join(longest_of, "batch").select(*seqs.columns, "batch", "batch_length")
+
+
+def pad_batches(batched: DataFrame, features: Sequence[str], key: str = "person_id") -> DataFrame:
+    """Sequences of ``batch_sequences`` as arrays of their batch's length: v, m and t, zero-padded on the right.
+
+    ``t`` is the step's time over the largest time of the batch (0 where that is 0): what a sequence is batched with
+    sets its time scale, as batches of a trainer do. Steps carry absolute ``t``.
+    """
+    last = F.coalesce(F.array_max(F.transform("steps", lambda s: s["t"])), F.lit(0)).cast("double")
+    latest = batched.groupBy("batch").agg(F.max(last).alias("__latest"))
+    joined = batched.join(latest, "batch")
+    fill = (F.col("batch_length") - F.greatest(F.coalesce(F.size("steps"), F.lit(0)), F.lit(0))).cast("int")
+    steps = F.coalesce("steps", F.array().cast(batched.schema["steps"].dataType))
+    zeros, unseen = F.array(*[F.lit(0.0) for _ in features]), F.array(*[F.lit(0) for _ in features])
+    time = lambda s: F.coalesce(F.try_divide(s["t"].cast("double"), F.col("__latest")), F.lit(0.0))
+    return joined.select(
+        key,
+        "batch",
+        "batch_length",
+        F.concat(F.transform(steps, lambda s: s["v"]), F.array_repeat(zeros, fill)).alias("v"),
+        F.concat(F.transform(steps, lambda s: s["m"]), F.array_repeat(unseen, fill)).alias("m"),
+        F.concat(F.transform(steps, time), F.array_repeat(F.lit(0.0), fill)).alias("t"),
+    )
+
+
 def resample_kernel(
     seqs: DataFrame, features: Sequence[str], points: int = REFERENCE_POINTS, dim: int = TIME_DIMENSION
 ) -> DataFrame:
     """Resample every sequence onto ``points`` evenly spaced times in [0, 1] by a softmax over observed steps.
 
-    The score of two times is the scaled dot product of their sin/cos embeddings, which is a sum of cosines of the
-    time difference. Steps and reference points are expanded by generators inside the person's partition, so the
-    closing aggregate needs no further shuffle.
+    The score of two times is the scaled dot product of their sin/cos embeddings. The steps of an Arrow batch lie in
+    flat arrays: one matrix product of the reference times' and the steps' embeddings gives all weights of ``STEPS``
+    steps at a time, and sums over each person's own columns end it, so no row of (step, point) is ever made and no
+    shuffle follows the one that built the sequences. A person's sums run on over slices, so memory does not grow with
+    a sequence. A point without an observed step is 0; a person without steps has no rows.
     """
     # The embedding stretches time by 48 and spaces its frequencies over a factor of 10.
-    frequencies = [48.0 * math.exp(-2 * j * math.log(10.0) / dim) for j in range(dim // 2)]
-    last = float(max(points - 1, 1))
-    waves = " + ".join(f"cos({f!r}D * (point / {last!r}D - time))" for f in frequencies)
-    weight = F.expr(f"exp(({waves}) / {math.sqrt(dim)!r}D)")
-    steps = seqs.select("person_id", F.inline("steps"))
-    crossed = steps.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("w", weight)
-    sums = [
-        F.try_divide(F.sum(F.col("w") * F.col("m")[i] * F.col("v")[i]), F.sum(F.col("w") * F.col("m")[i])).alias(f)
-        for i, f in enumerate(features)
-    ]
-    out = crossed.groupBy("person_id", "point").agg(*sums).fillna(0.0, subset=list(features))
-    return out.select("person_id", "point", (F.col("point") / F.lit(last)).alias("time"), *features)
+    frequencies = np.array([48.0 * math.exp(-2 * j * math.log(10.0) / dim) for j in range(dim // 2)])
+    grid = np.arange(points) / float(max(points - 1, 1))
+    width = len(features)
+
+    def embed(times: np.ndarray) -> np.ndarray:
+        angles = np.outer(times, frequencies)
+        return np.concatenate([np.cos(angles), np.sin(angles)], axis=1)
+
+    reference = embed(grid) / math.sqrt(dim)
+
+    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, PERSONS):
+                batch = whole.slice(lo, PERSONS)
+                size = batch.column("size").to_numpy()
+                ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+                time = batch.column("time").flatten().to_numpy(zero_copy_only=False)
+                v, m = (batch.column(c).flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, width) for c in ("v", "m"))
+                top, below = np.zeros((2, len(size), points, width))
+                for begin in range(0, len(time), STEPS):
+                    stop = min(begin + STEPS, len(time))
+                    weight = np.exp(reference @ embed(time[begin:stop]).T)
+                    first, last = np.searchsorted(ends, begin, "right") - 1, np.searchsorted(ends, stop, "left")
+                    own = np.arange(first, last)
+                    own = own[size[own] > 0]
+                    cuts = np.maximum(ends[own], begin) - begin
+                    for f in range(width):
+                        seen = weight * m[begin:stop, f]
+                        below[own, :, f] += np.add.reduceat(seen, cuts, axis=1).T
+                        top[own, :, f] += np.add.reduceat(seen * v[begin:stop, f], cuts, axis=1).T
+                has = np.flatnonzero(size > 0)
+                got = np.divide(top, below, out=np.zeros_like(top), where=below > 0)[has].reshape(-1, width)
+                ids = batch.column("person_id").take(pa.array(np.repeat(has, points)))
+                columns = [ids, pa.array(np.tile(np.arange(points, dtype=np.int32), len(has))), pa.array(np.tile(grid, len(has)))]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(got[:, f])) for f in range(width))], schema.names)
+
+    part = lambda name: F.transform("steps", lambda s: s[name])
+    flat = seqs.where(F.size("steps") > 0).select("person_id", F.size("steps").alias("size"), part("time").alias("time"), part("v").alias("v"), part("m").alias("m"))
+    schema = T.StructType(
+        [
+            flat.schema["person_id"],
+            T.StructField("point", T.IntegerType()),
+            T.StructField("time", T.DoubleType()),
+            *(T.StructField(f, T.DoubleType()) for f in features),
+        ]
+    )
+    return flat.mapInArrow(resample, schema)

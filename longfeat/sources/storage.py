@@ -8,7 +8,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from longfeat.sources.schemas import struct
 from longfeat.sources.tables import inline
 
 
@@ -55,6 +58,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def load_strict(spark: SparkSession, path: str, schema: str | T.StructType, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """A CSV file as (rows that fit the schema, refused lines as they stand in the file), by a corrupt-record column.
+
+    A line with too few or too many fields or a value that does not parse is refused whole and never lost. The file is
+    parsed once; the parsed rows are written to the shared folder, and both results read them.
+    """
+    schema = struct(schema) if isinstance(schema, str) else schema
+    wide = T.StructType([*schema.fields, T.StructField("__line", T.StringType())])
+    reader = spark.read.schema(wide).option("header", header).option("mode", "PERMISSIVE").option("enforceSchema", False)
+    parsed = materialize(reader.option("columnNameOfCorruptRecord", "__line").csv(path), "parsed")
+    fine = parsed.where("__line is null").select(*schema.names)
+    return fine, parsed.where("__line is not null").select(F.col("__line").alias("line"))
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a written table or folder, in whatever store it lies; False where there is none."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def save_stats(df: DataFrame, path: str) -> str:
     """Fit-time statistics (minima, maxima, kept columns), overwritten by the next fit."""
     return write_table(df, path, mode="overwrite")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,3 +101,30 @@ def conform(df: DataFrame, schema: str | T.StructType) -> DataFrame:
     """Project onto a schema by name; a value that does not parse becomes null."""
     schema = struct(schema) if isinstance(schema, str) else schema
     return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def refused_values(df: DataFrame, schema: str | T.StructType) -> list[Column]:
+    """For each field a count of the values that are there but do not parse (aggregates over the rows before conform)."""
+    schema = struct(schema) if isinstance(schema, str) else schema
+    bad = lambda f: F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()
+    return [F.count_if(bad(f)).alias(f.name) for f in schema.fields]
+
+
+def conform_counted(df: DataFrame, schema: str | T.StructType, name: str) -> tuple[DataFrame, Observation]:
+    """``conform``, and an observation that any action on the result fills: ``rows`` and the refused values per field.
+
+    The counts come from the same pass that writes or aggregates the conformed rows. The observed frame must be read
+    to its end by one action; ``observation.get`` waits for it.
+    """
+    schema = struct(schema) if isinstance(schema, str) else schema
+    seen = Observation(name)
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), *refused_values(df, schema))
+    return conform(counted, schema), seen
+
+
+def refused(df: DataFrame, schema: str | T.StructType, table: str) -> DataFrame:
+    """(table_name, column_name, rows, refused): a row for each field, from one aggregate."""
+    schema = struct(schema) if isinstance(schema, str) else schema
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *[c.alias(f"__{i}") for i, c in enumerate(refused_values(df, schema))])
+    lines = [F.struct(F.lit(f.name).alias("column_name"), F.col("rows"), F.col(f"__{i}").alias("refused")) for i, f in enumerate(schema.fields)]
+    return row.select(F.lit(table).alias("table_name"), F.inline(F.array(*lines)))

@@ -6,7 +6,7 @@ import pytest
 
 from workload.queries import QUERIES
 
-EAGER = ("model_", "feature_ranks", "binary_metrics", "sink_", "stats_", "topk_matrix_sparse", "matrix_", "layout_")
+EAGER = ("product_", "source_strict", "seq_scaled_fitted", "model_", "feature_ranks", "sink_", "stats_", "topk_matrix_sparse", "matrix_", "layout_")
 LAZY = [n for n in QUERIES if not n.startswith(EAGER)]
 
 

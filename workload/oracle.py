@@ -5,6 +5,7 @@ from __future__ import annotations
 from longfeat.operators.labels import SETUPS
 from longfeat.sources.schemas import FOLDERS, PERSON_FILES, VOCABULARY_FILES
 from workload import views as vw
+from longfeat.plans.defaults import MEASURE_BOUNDS
 from workload.views import BOUNDS, CUSTOM_REGISTRY, CUSTOM_SETS, INDICATORS, RESULTS, ROLE_SETS, ROUTES, TESTS
 
 ORACLE: dict[str, str] = {}
@@ -534,12 +535,13 @@ oracle(
     GROUP BY person_id, point""",
 )
 
-# The outcome of the model queries is one indicator, or the most frequent concept of a domain.
-RULE = "SELECT person_id, coalesce(ind3_indicator, 0) AS predicted FROM (SELECT c.person_id, r.ind3_indicator FROM base c LEFT JOIN rollup r ON r.person_id = c.person_id)"
+# The outcome of the model queries is either of two indicators, or the most frequent concept of a domain.
+RULE = """SELECT b.person_id, greatest(coalesce(ind3_indicator, 0), coalesce(ind5_indicator, 0)) AS predicted
+    FROM base b LEFT JOIN rollup r ON r.person_id = b.person_id"""
 for kind in ("lr", "lr_balanced", "rf", "gbt"):
-    oracle(f"model_{kind}", f"SELECT * FROM ({RULE}) WHERE predicted = 1" if kind == "lr_balanced" else RULE)
+    oracle(f"model_{kind}", RULE)
 TOP_CLICK = "SELECT concept_id FROM tagged WHERE domain = 'cli' AND concept_id IS NOT NULL GROUP BY concept_id ORDER BY count(*) DESC, concept_id LIMIT 1"
-for kind in ("lr", "lr_balanced", "gbt", "mlp"):
+for kind in ("lr", "lr_balanced", "rf", "gbt", "mlp"):
     oracle(
         f"matrix_{kind}",
         f"""SELECT person_id, {flag(f"person_id IN (SELECT person_id FROM tagged WHERE domain = 'cli' AND concept_id = ({TOP_CLICK}))")}
@@ -552,7 +554,25 @@ oracle(
     CAST(coalesce(ind2_indicator, 0) AS DOUBLE) AS ind2_indicator FROM base c LEFT JOIN rollup r ON r.person_id = c.person_id""",
 )
 oracle("model_best", "SELECT unnest(['lr', 'lr_balanced']) AS candidate, true AS unseen, true AS least")
-oracle("feature_ranks", "SELECT unnest(['lr', 'rf']) AS model, 'ind3_indicator' AS feature, false AS in_least")
+SUMMARY_FEATURES = ["age", "encounters"] + [
+    f"{c}_indicator" for c in (*INDICATORS, "m6", "m9", "m10", "obese", *FLAG_NAMES, *DOSE_COLUMNS[:-1], *DOSE_TAIL)
+]
+oracle(
+    "feature_ranks",
+    f"""SELECT model, list, CAST(rank AS INTEGER) AS rank, CASE WHEN model = 'rf' THEN list = 'top' AND rank < 3 END AS of_rule,
+    rank > {len(SUMMARY_FEATURES) - 20} AS in_both, true AS ordered
+    FROM (SELECT unnest(['lr', 'rf']) AS model), (SELECT unnest(['top', 'least']) AS list), (SELECT unnest(range(1, 21)) AS rank)""",
+)
+oracle(
+    "model_gradient",
+    f"""SELECT model, weight, true AS flat FROM (SELECT unnest(['lr', 'lr_balanced']) AS model),
+    (SELECT unnest(['intercept', {", ".join(f"'{c}'" for c in SUMMARY_FEATURES)}]) AS weight)""",
+)
+oracle(
+    "model_grid",
+    """SELECT candidate, fold, rows, true AS winner_is_least FROM (SELECT unnest(['c0', 'c2', 'c4']) AS candidate),
+    (SELECT CAST(CAST('0x' || substr(md5('5:' || person_id), 1, 8) AS BIGINT) % 3 AS INTEGER) AS fold, count(*) AS rows FROM base GROUP BY fold)""",
+)
 
 oracle(
     "ensemble_scores",
@@ -599,3 +619,88 @@ oracle(
 ORACLE["indicator_days_salted"] = ORACLE["indicator_days_condition"]
 ORACLE["measure_flags_salted"] = ORACLE["measure_flags"]
 ORACLE["mention_matched_salted"] = ORACLE["mention_matched"]
+ORACLE["product_person_days"] = ORACLE["day_facts"]
+ORACLE["product_summary"] = ORACLE["person_summary"]
+ORACLE["product_lookback"] = ORACLE["lookback_rows"]
+oracle(
+    "product_sequences",
+    f"SELECT person_id, CAST(step AS INTEGER) AS step, day_offset AS t, {FILLED}, {SEEN} FROM steps",
+)
+oracle(
+    "lookback_ordered",
+    """SELECT person_id, day, last_day, first_day, CAST(day - first_day AS INTEGER) AS day_offset FROM (
+    SELECT *, min(day) OVER (PARTITION BY person_id) AS first_day FROM (
+        SELECT *, max(day) OVER (PARTITION BY person_id) AS last_day FROM (
+            SELECT person_id, day FROM enc UNION SELECT person_id, day FROM hits WHERE domain IN ('click', 'view'))
+        WHERE day IS NOT NULL) WHERE day > last_day - 180)""",
+)
+
+# Orders as text, with values that do not parse.
+WRITTEN = """(SELECT o_orderkey AS id, o_orderkey % 7 = 0 AS bad_rank, o_orderkey % 11 = 0 AS bad_price, o_orderkey % 5 = 0 AS bad_day,
+    CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS rank, CASE WHEN o_orderkey % 13 > 0 THEN o_totalprice END AS price,
+    CAST(o_orderdate AS DATE) AS day FROM orders)"""
+oracle(
+    "source_refused",
+    " UNION ALL ".join(
+        f"SELECT 'orders' AS table_name, '{c}' AS column_name, count(*) AS rows, {bad} AS refused FROM {WRITTEN}"
+        for c, bad in (("id", "0"), ("rank", "count_if(bad_rank)"), ("price", "count_if(bad_price)"), ("day", "count_if(bad_day)"))
+    ),
+)
+oracle(
+    "source_strict",
+    f"""SELECT id, CASE WHEN bad THEN NULL ELSE rank END AS rank, CASE WHEN bad THEN NULL ELSE price END AS price,
+    CASE WHEN bad THEN NULL ELSE day END AS day, CASE WHEN bad THEN 1 ELSE 0 END AS refused
+    FROM (SELECT *, bad_rank OR bad_price OR bad_day AS bad FROM {WRITTEN})""",
+)
+
+BOUND_ROWS = ", ".join(f"({i}, {lo}::DOUBLE, {hi}::DOUBLE)" for i, (_, _, lo, hi) in enumerate(MEASURE_BOUNDS))
+GATED = ", ".join(
+    f"""round(CASE WHEN count(value) > 0 THEN coalesce(max(scaled) FILTER (concept_id = {i} AND scaled BETWEEN lo AND hi), 0) END, 6) AS {name}"""
+    for i, (name, *_) in enumerate(MEASURE_BOUNDS)
+)
+oracle(
+    "measure_days_default",
+    f"""SELECT person_id, day, {GATED} FROM (SELECT person_id, day, concept_id, value, lo, hi,
+    lo + (hi - lo) * (value - 5) / 40.0::DOUBLE AS scaled
+    FROM meas JOIN (VALUES {BOUND_ROWS}) b(i, lo, hi) ON i = concept_id) WHERE day IS NOT NULL
+    AND person_id IN (SELECT person_id FROM cohort) GROUP BY person_id, day""",
+)
+
+BATCHED = """(SELECT *, max(length) OVER (PARTITION BY batch) AS batch_length FROM (SELECT *, (row_number() OVER (ORDER BY length,
+    CAST('0x' || substr(md5('3:' || person_id), 1, 8) AS BIGINT), person_id) - 1) // 64 AS batch
+    FROM (SELECT person_id, CAST(count(*) AS INTEGER) AS length FROM steps GROUP BY person_id)))"""
+oracle("seq_batches", f"SELECT * FROM {BATCHED}")
+oracle(
+    "seq_batch_padded",
+    f"""SELECT g.person_id, g.batch, CAST(g.step AS INTEGER) AS step,
+    round(coalesce(day_offset / nullif(max(day_offset) OVER (PARTITION BY g.batch), 0)::DOUBLE, 0), 6) AS t, {FILLED}, {SEEN}
+    FROM (SELECT person_id, batch, unnest(range(batch_length)) AS step FROM {BATCHED}) g
+    LEFT JOIN steps s ON s.person_id = g.person_id AND s.step = g.step""",
+)
+FITTED = ", ".join(
+    f"round(coalesce((r.{c} - f.{c}_lo) / coalesce(nullif(f.{c}_hi, 0), 1), 0), 6) AS {c}" for c in ("m4", "m5", "m6")
+)
+LIMITS = ", ".join(f"min({c}) AS {c}_lo, max({c}) AS {c}_hi" for c in ("m4", "m5", "m6"))
+oracle(
+    "seq_scaled_fitted",
+    f"""SELECT r.person_id, r.day, {FITTED} FROM recent_steps r JOIN split p ON p.person_id = r.person_id AND p.split = 'valid',
+    (SELECT {LIMITS} FROM recent_steps JOIN split USING (person_id) WHERE split = 'train') f""",
+)
+
+oracle(
+    "roc_by_group",
+    """SELECT l_linestatus, part, round((sum(rank_sum) - sum(pos) * (sum(pos) + 1) / 2.0) / nullif(sum(pos) * sum(neg)::DOUBLE, 0), 6) AS auc
+    FROM (SELECT *, pos * (sum(pos + neg) OVER (PARTITION BY l_linestatus, part ORDER BY score) - (pos + neg) + (pos + neg + 1) / 2.0) AS rank_sum
+        FROM (SELECT l_linestatus, CASE WHEN l_linenumber > 5 THEN 'late' END AS part,
+            l_extendedprice * (1 - l_discount) / 10000 - 3 AS score,
+            count_if(l_returnflag = 'R' AND l_linenumber <> 7) AS pos, count_if(NOT (l_returnflag = 'R' AND l_linenumber <> 7)) AS neg
+            FROM lineitem GROUP BY ALL)) GROUP BY l_linestatus, part""",
+)
+FOLDED = """(SELECT l_returnflag = 'R' AS hit, CAST(l_returnflag = 'R' AS INTEGER) AS label, l_discount * 10 AS discount, l_tax * 10 AS tax,
+    CAST(CAST('0x' || substr(md5('5:' || l_orderkey), 1, 8) AS BIGINT) % 3 AS INTEGER) AS fold FROM lineitem)"""
+oracle(
+    "grid_losses",
+    f"""SELECT candidate, fold, rows, round(loss, 6) AS loss, round(mean, 6) AS mean, CAST(dense_rank() OVER (ORDER BY mean, candidate) AS INTEGER) AS rank
+    FROM (SELECT *, sum(loss * rows) OVER (PARTITION BY candidate) / sum(rows) OVER (PARTITION BY candidate) AS mean FROM (
+        {" UNION ALL ".join(f"SELECT '{c}' AS candidate, fold, count(*) AS rows, {LOSS.format(s=c)} AS loss FROM {FOLDED} GROUP BY fold" for c in ("discount", "tax"))}))""",
+)

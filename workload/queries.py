@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from longfeat.operators import cohort as co
 from longfeat.operators import dayfacts as df_
@@ -18,7 +21,8 @@ from longfeat.operators import measures as me
 from longfeat.operators import sequences as seq
 from longfeat.operators import vocabulary as vo
 from longfeat.plans import products
-from longfeat.sources import schemas, storage, tables
+from longfeat.plans.defaults import MEASURE_BOUNDS
+from longfeat.sources import layout, schemas, storage, tables
 from workload import views as vw
 from workload.views import Views
 
@@ -61,6 +65,38 @@ def source_conform(v: Views) -> DataFrame:
     return tables.conform(text, "id bigint, rank int, bad int, price double, day date")
 
 
+def written_orders(v: Views) -> DataFrame:
+    """Orders as text, with values that do not parse."""
+    day = F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd")
+    return v.table("orders").select(
+        F.col("o_orderkey").cast("string").alias("id"),
+        F.when(F.col("o_orderkey") % 7 == 0, "none").otherwise(F.substring("o_orderpriority", 1, 1)).alias("rank"),
+        F.when(F.col("o_orderkey") % 11 == 0, F.concat(F.lit("about "), F.col("o_totalprice").cast("string")))
+        .when(F.col("o_orderkey") % 13 > 0, F.col("o_totalprice").cast("string"))
+        .alias("price"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.concat(day, F.lit("?"))).otherwise(day).alias("day"),
+    )
+
+
+ORDER_FIELDS = "id bigint, rank int, price double, day date"
+
+
+@query
+def source_refused(v: Views) -> DataFrame:
+    """Counts of values that do not parse, per column."""
+    return tables.refused(written_orders(v), ORDER_FIELDS, "orders")
+
+
+@query
+def source_strict(v: Views) -> DataFrame:
+    """A file with values that do not parse: its rows that fit, and the ids of the lines refused."""
+    root = storage.fresh_path(v.spark, "refused")
+    storage.write_table(written_orders(v), root, "csv")
+    fine, lines = storage.load_strict(v.spark, root, ORDER_FIELDS)
+    gone = lines.select(F.regexp_extract("line", "^[0-9]+", 0).cast("bigint").alias("id")).withColumn("refused", F.lit(1))
+    return fine.withColumn("refused", F.lit(0)).unionByName(gone, allowMissingColumns=True)
+
+
 @query
 def sink_roundtrip(v: Views) -> DataFrame:
     root = storage.fresh_path(v.spark, "csv")
@@ -234,6 +270,17 @@ def measure_days(v: Views) -> DataFrame:
     return me.measure_days(v.meas(), v.cohort(), vw.BOUNDS)
 
 
+@query
+def measure_days_default(v: Views) -> DataFrame:
+    """All default measures: each gets its own concept, and values around its accepted range."""
+    bounds = [me.Bound(*b) for b in MEASURE_BOUNDS]
+    of = lambda f: F.element_at(F.array(*[F.lit(f(b)) for b in bounds]), F.col("concept_id").cast("int") + 1)
+    low, high = of(lambda b: float(b.lo)), of(lambda b: float(b.hi))
+    value = low + (high - low) * (F.col("value") - 5) / 40.0
+    meas = v.meas().withColumns({"value": value, "concept_id": of(lambda b: b.concept_ids[-1])})
+    return rounded(me.measure_days(meas, v.cohort(), bounds), *[b.name for b in bounds])
+
+
 @query
 def measure_bmi(v: Views) -> DataFrame:
     return measure_frame(v).select("person_id", "day", "bmi_rounded", "obese")
@@ -353,9 +400,13 @@ def episode_flag(v: Views) -> DataFrame:
 
 # summary
 def summary_frame(v: Views) -> DataFrame:
+    return summarised(facts(v), co.build_cohort(v.person(), v.enc(), vw.AS_OF))
+
+
+def summarised(days: DataFrame, cohort: DataFrame) -> DataFrame:
     return summary.person_summary(
-        facts(v),
-        co.build_cohort(v.person(), v.enc(), vw.AS_OF),
+        days,
+        cohort,
         {"bmi_rounded": "bmi_max"},
         {"m8": "m8_mean"},
         {"had_dose": "total_doses"},
@@ -378,6 +429,38 @@ def column_variance(v: Views) -> DataFrame:
     return rounded(summary.column_variance(measure_frame(v), ["m4", "m5", "m6", "obese"]), "variance", digits=4)
 
 
+# products laid out by person
+BUCKETS = 8
+
+
+def stored_days(v: Views) -> DataFrame:
+    return layout.stored(facts(v), "person_days", BUCKETS)
+
+
+@query
+def product_person_days(v: Views) -> DataFrame:
+    return stored_days(v)
+
+
+@query
+def product_summary(v: Views) -> DataFrame:
+    """The summary from two stored tables of equal layout."""
+    cohort = layout.stored(co.build_cohort(v.person(), v.enc(), vw.AS_OF), "cohort", BUCKETS)
+    return rounded(summarised(stored_days(v), cohort), "m8_mean")
+
+
+@query
+def product_lookback(v: Views) -> DataFrame:
+    return lookback.recent_rows(stored_days(v))
+
+
+@query
+def product_sequences(v: Views) -> DataFrame:
+    days = me.measure_days(v.meas(), v.cohort(), vw.BOUNDS).select("person_id", "day", *STEP_FEATURES)
+    recent = lookback.recent_rows(layout.stored(days, "measure_days", BUCKETS))
+    return seq.flatten_steps(seq.sequences(recent, STEP_FEATURES), STEP_FEATURES)
+
+
 # top-k
 def domains(v: Views) -> dict[str, DataFrame]:
     return {**{d[:3]: v.domain(d) for d in vw.ROUTES}, "mea": v.meas()}
@@ -426,6 +509,13 @@ def lookback_rows(v: Views) -> DataFrame:
     return lookback.recent_rows(facts(v))
 
 
+@query
+def lookback_ordered(v: Views) -> DataFrame:
+    """In the order of the export: the place of each row counts the rows before it."""
+    days = df_.day_facts(v.enc(), [days_of(v, "click"), days_of(v, "view")])
+    return lookback.recent_rows(days, ordered=True).select("person_id", "day", "last_day", "first_day", "day_offset")
+
+
 @query
 def lookback_counts(v: Views) -> DataFrame:
     return lookback.recent_counts(lookback.recent_rows(facts(v)))
@@ -577,6 +667,30 @@ def seq_padded(v: Views) -> DataFrame:
     return rounded(zipped.select("person_id", "step", F.col("z.t").alias("t"), *cells, *seen), "t")
 
 
+@query
+def seq_batches(v: Views) -> DataFrame:
+    arrays = seq.sequences(recent_measures(v), STEP_FEATURES)
+    return seq.batch_sequences(arrays, 64, seed=3).select("person_id", F.size("steps").alias("length"), "batch", "batch_length")
+
+
+@query
+def seq_batch_padded(v: Views) -> DataFrame:
+    batched = seq.batch_sequences(seq.sequences(recent_measures(v), STEP_FEATURES), 64, seed=3)
+    zipped = seq.pad_batches(batched, STEP_FEATURES).select("person_id", "batch", F.posexplode(F.arrays_zip("v", "m", "t")).alias("step", "z"))
+    cells = [F.col("z.v")[i].alias(f) for i, f in enumerate(STEP_FEATURES)]
+    seen = [F.col("z.m")[i].alias(f"{f}_seen") for i, f in enumerate(STEP_FEATURES)]
+    return rounded(zipped.select("person_id", "batch", "step", F.col("z.t").alias("t"), *cells, *seen), "t")
+
+
+@query
+def seq_scaled_fitted(v: Views) -> DataFrame:
+    """Statistics of the training persons, saved, read again and applied to the others."""
+    recent, split = recent_measures(v), la.split_exact(v.cohort(), 0.9, seed=7)
+    path = storage.save_stats(seq.feature_stats(la.restrict(recent, split, "train"), STEP_FEATURES), storage.fresh_path(v.spark, "stats"))
+    scaled = seq.scale_masked(la.restrict(recent, split, "valid"), storage.load_stats(v.spark, path), STEP_FEATURES)
+    return rounded(scaled.select("person_id", "day", *STEP_FEATURES), *STEP_FEATURES)
+
+
 @query
 def seq_resampled(v: Views) -> DataFrame:
     arrays = seq.sequences(recent_measures(v), STEP_FEATURES)
@@ -584,13 +698,17 @@ def seq_resampled(v: Views) -> DataFrame:
 
 
 # models
-RULE = "ind3_indicator"
+RULE = ("ind3_indicator", "ind5_indicator")
 
 
 def training(v: Views) -> tuple[DataFrame, list[str]]:
-    """The whole summary; the outcome follows a rule (it is one indicator), so what a model must find is known."""
+    """The whole summary; the outcome follows a rule of two indicators, so what a model must find is known.
+
+    No feature is the outcome, and no single feature decides it.
+    """
     frame = summary_frame(v)
-    return frame.withColumn("outcome", F.coalesce(F.col(RULE), F.lit(0))), learn.indicator_features(frame.columns)
+    outcome = F.greatest(*(F.coalesce(F.col(c), F.lit(0)) for c in RULE))
+    return frame.withColumn("outcome", outcome), learn.indicator_features(frame.columns)
 
 
 def fitted(v: Views, kinds: list[str], part: str | None = None):
@@ -608,8 +726,6 @@ def predicted(scores: DataFrame, kind: str) -> DataFrame:
 def model_query(kind: str) -> None:
     def run(v: Views) -> DataFrame:
         models, frame, features = fitted(v, [kind])
-        # Weighted classes trade a few false alarms for finding every positive, so that is what is checked of them.
-        frame = frame.where("outcome = 1") if kind == "lr_balanced" else frame
         return predicted(learn.score(models, frame), kind)
 
     run.__name__ = f"model_{kind}"
@@ -637,7 +753,7 @@ def matrix_query(kind: str) -> None:
     query(run)
 
 
-for _kind in ("lr", "lr_balanced", "gbt", "mlp"):
+for _kind in ("lr", "lr_balanced", "rf", "gbt", "mlp"):
     matrix_query(_kind)
 
 
@@ -678,12 +794,66 @@ def model_best(v: Views) -> DataFrame:
 
 @query
 def feature_ranks(v: Views) -> DataFrame:
-    """The first feature of each model is the rule; the least ranked ones do not hold it."""
+    """All ranks of both lists of each model: is the feature one of the rule, is it in both lists, is its weight in order?
+
+    The forest must have the rule's features first. A linear model may share a rule among correlated features, so of
+    it only the order counts; that its weights are right is what ``model_gradient`` shows.
+    """
     models, frame, features = fitted(v, ["lr", "rf"])
-    tops = [learn.feature_ranks(v.spark, m, features).withColumn("model", F.lit(n)) for n, m in models.items()]
-    least = [learn.feature_ranks(v.spark, m, features, n=3, least=True) for m in models.values()]
-    held = learn.common_features(least[0], tops[0].where("rank = 1")).count() > 0
-    return tops[0].unionByName(tops[1]).where("rank = 1").select("model", "feature", F.lit(held).alias("in_least"))
+    lists = []
+    for name, model in models.items():
+        top, least = (learn.feature_ranks(v.spark, model, features, least=b) for b in (False, True))
+        both = learn.common_features(top, least).withColumn("in_both", F.lit(True))
+        for kind, ranks, sign in (("top", top, -1), ("least", least, 1)):
+            before = F.lag(F.col("weight") * sign).over(Window.orderBy("rank"))  # 20 rows
+            judged = ranks.withColumn("ordered", F.coalesce(F.col("weight") * sign >= before, F.lit(True)))
+            judged = judged.join(both, "feature", "left").withColumn("in_both", F.coalesce("in_both", F.lit(False)))
+            rule = F.col("feature").isin(*RULE) if name == "rf" else F.lit(None).cast("boolean")
+            lists.append(judged.select(F.lit(name).alias("model"), F.lit(kind).alias("list"), "rank", rule.alias("of_rule"), "in_both", "ordered"))
+    return reduce(DataFrame.unionByName, lists)
+
+
+@query
+def model_gradient(v: Views) -> DataFrame:
+    """The slope of the penalised loss at the fitted weights, over all persons: 0 for every weight at the optimum.
+
+    The outcome is the recorded one, no feature and no function of them.
+    """
+    frame, features = training(v)
+    frame = la.attach_outcome(frame.drop("outcome"), la.outcome(v.labels()))
+    names = sorted(features)
+    scaled = frame.select("person_id", "outcome", *[(F.coalesce(F.col(c), F.lit(0)) / (100.0 if c in ("age", "encounters") else 1.0)).alias(c) for c in names])
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(scaled)
+    table = storage.materialize(vectors.select("person_id", "features", F.col("outcome").cast("double").alias("outcome")), "gradient")
+    rows = table.count()
+    specs = {k: learn.summary_specs(rows)[k] for k in ("lr", "lr_balanced")}
+    for stages in specs.values():
+        stages[-1].setTol(1e-12).setMaxIter(1000)
+    found = []
+    for kind, model in learn.fit_vectors(table, specs).items():
+        weight = learn.WEIGHT if kind == "lr_balanced" else None
+        slopes = learn.logistic_gradient(model, learn.balance_weights(table), 1.0 / rows, weight)
+        named = F.when(F.col("place") < 0, "intercept").otherwise(F.get(F.array(*map(F.lit, names)), F.col("place")))
+        found.append(slopes.select(F.lit(kind).alias("model"), named.alias("weight"), (F.abs("gradient") < 1e-4).alias("flat")))
+    return found[0].unionByName(found[1])
+
+
+@query
+def model_grid(v: Views) -> DataFrame:
+    """Cross-validation of three penalties on the recorded outcome: each candidate on each fold, and the winner."""
+    frame, features = training(v)
+    names = sorted(features)
+    filled = la.attach_outcome(frame.drop("outcome"), la.outcome(v.labels())).fillna(0, subset=names)
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(filled)
+    table = storage.materialize(vectors.select("person_id", "features", F.col("outcome").cast("double").alias("outcome")), "grid-input")
+    specs = {f"c{c}": [LogisticRegression(labelCol="outcome", regParam=10.0**-c, maxIter=50)] for c in (0, 2, 4)}
+    best, model, losses = learn.grid_search(table, specs, folds=3, seed=5)
+    ranks = learn.grid_ranks(losses)
+    refitted = model.stages[-1].getOrDefault("regParam") == specs[best][0].getOrDefault("regParam")
+    least = ranks.agg(F.min("loss").alias("loss")).scalar()
+    judged = losses.join(ranks.select("candidate", F.col("loss").alias("mean")), "candidate")
+    won = (F.col("candidate") == best) & F.lit(refitted)
+    return judged.select("candidate", "fold", "rows", (~won | (F.col("mean") == least)).alias("winner_is_least"))
 
 
 @query
@@ -712,6 +882,32 @@ def binary_metrics(v: Views) -> DataFrame:
     return rounded(out, "log_loss", "accuracy", "recall", "precision", "auc")
 
 
+@query
+def roc_by_group(v: Views) -> DataFrame:
+    """Areas per status and in groups that may have one class."""
+    rows = v.table("lineitem").select(
+        "l_linestatus",
+        F.when(F.col("l_linenumber") > 5, "late").alias("part"),
+        ind.flag((F.col("l_returnflag") == "R") & (F.col("l_linenumber") != 7)).alias("label"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount")) / 10_000 - 3).alias("score"),
+    )
+    return rounded(metrics.area_under_roc(rows, "label", "score", ["l_linestatus", "part"]), "auc")
+
+
+@query
+def grid_losses(v: Views) -> DataFrame:
+    """Cross-entropy of two scores on every fold, and the rank of each by its mean."""
+    folded = v.table("lineitem").select(
+        ind.flag(F.col("l_returnflag") == "R").alias("label"),
+        (F.col("l_discount") * 10).alias("discount"),
+        (F.col("l_tax") * 10).alias("tax"),
+        learn.fold_of("l_orderkey", 3, seed=5).alias("fold"),
+    )
+    losses = learn.grid_losses(folded, "label", {"discount": "discount", "tax": "tax"})
+    ranks = learn.grid_ranks(losses).select("candidate", F.col("loss").alias("mean"), "rank")
+    return rounded(losses.join(ranks, "candidate"), "loss", "mean")
+
+
 @query
 def class_report(v: Views) -> DataFrame:
     return rounded(metrics.class_report(scored(v), "label", "score"), "precision", "recall", "f1")
