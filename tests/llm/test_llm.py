@@ -404,7 +404,7 @@ def test_sketch_never_loses_a_pair():
             cases.append(np.concatenate([a[x:], rng.integers(0, 2**63, x, dtype=np.uint64)]) if x else a)
             for b in cases:
                 common = len(np.intersect1d(a, b))
-                if rule.linked(n, len(b), common):
+                if rule.linked(n, len(b), common) and not common == n == len(b):  # equal sets are one class
                     x, y = (jaccard.chunk_keys(np.sort(v), rule) for v in (a, b))
                     assert any(np.intersect1d(k, m).size >= max(i, j) for k, i in x for m, j in y)
                     differ = np.bitwise_count((np.array(jaccard.wide_sketch(a)) ^ np.array(jaccard.wide_sketch(b))).view(np.uint64)).sum()
