@@ -470,3 +470,14 @@ def test_pipeline_stages(lspark, small_root):
     packed = stages["packing"](lspark, clean, small_root).toPandas()
     assert packed.length.sum() == sum(len(x) // 4 + 1 for x in library_ids([r.text for r in clean.collect()]))
     assert list(stages) == ["quality", "line_dedup", "jaccard", "decontaminate", "packing"]
+
+
+@pytest.mark.parametrize("stage", ["quality", "line_dedup", "jaccard", "decontaminate"])
+def test_stages_keep_clashing_columns(lspark, odd_docs, no_docs, small_root, stage):
+    """Null ids, repeated rows and columns named like the operators' own come through; an empty table stays empty."""
+    names = ["classes", "common", "__lang", "__text", "__keys", "__gone", "n_dropped"]
+    docs = odd_docs.withColumns({c: F.lit("mine") for c in names})
+    got = dict(corpus_pipeline.STAGES)[stage](lspark, docs, small_root)
+    assert got.columns == docs.columns
+    assert all(r[c] == "mine" for r in got.collect() for c in names) and {r.kept for r in got.collect()} <= {"x"}
+    assert dict(corpus_pipeline.STAGES)[stage](lspark, no_docs, small_root).collect() == []
