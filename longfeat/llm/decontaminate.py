@@ -12,28 +12,36 @@ Verification. The item's question (all but its last line or sentence) and its an
 with the text from one segment before to one behind the retrieved passages by word n-grams.
 
 Defined results: words are runs of characters that are neither white space nor ASCII punctuation, lower-cased; a
-null or empty text or item has none and matches nothing; equal items are retrieved each; repeated rows are judged each.
+null or empty text or item has none and matches nothing; equal items are retrieved each; repeated rows are judged each;
+leaks are in order of item id (null first), score and overlaps.
+
+Parts. Document frequencies, the number of units and their mean length are counted over the whole benchmark by Spark.
+Items are dealt to parts of bounded size, each indexed in a task from its items and its words' counts, so scores are
+the same for any number of parts. One pass over the documents applies them all, a worker holding one part at a time.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from longfeat.llm import arrays
+from longfeat.sources.storage import materialize
 
 SEGMENT = 64
 BLOCK = 4
 K1, B = 1.2, 0.75
-#: An index of more text than this is built and applied in several parts.
-PART_BYTES = 16 << 20
+#: An index of more text than this is built and applied in several parts; rows do not depend on it.
+PART_BYTES = 4 << 20
 LEAK = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
 
 _PUNCTUATION = np.zeros(256, bool)
@@ -68,6 +76,29 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(arrays.gram_hashes(words, n)) if n else np.zeros(0, np.uint64)
 
 
+@dataclass
+class Counts:
+    """Of all units: how many there are, their words, and how many units hold a term (at least the terms needed)."""
+
+    units: int
+    words: int
+    terms: np.ndarray  # ascending
+    holding: np.ndarray
+
+
+def cut_units(texts: list[bytes]) -> tuple[list[np.ndarray], list[int]]:
+    """(words of each segment, its text)."""
+    prints, at = word_prints(texts)
+    spans = [(i, lo, min(lo + SEGMENT, at[i + 1])) for i in range(len(texts)) for lo in range(at[i], at[i + 1], SEGMENT)]
+    return [prints[lo:hi] for _, lo, hi in spans], [i for i, _, _ in spans]
+
+
+def count(texts: list[bytes]) -> Counts:
+    units, _ = cut_units(texts)
+    terms, holding = np.unique(np.concatenate([np.unique(u) for u in units] + [np.zeros(0, np.uint64)]), return_counts=True)
+    return Counts(len(units), sum(map(len, units)), terms, holding)
+
+
 @dataclass
 class Index:
     """Units (segments) with normalised impacts: per term its blocks' maxima, per unit its terms."""
@@ -81,26 +112,26 @@ class Index:
     impact: np.ndarray
     unit_item: np.ndarray
     items: list[tuple[int | None, np.ndarray, np.ndarray]]  # id, words of the question, words of the answer
+    copies: list[int]  # rows of each item
 
 
-def build(items: list[tuple[int | None, str | None]]) -> Index:
+def build(
+    items: list[tuple[int | None, str | None]], counts: Counts | None = None, copies: list[int] | None = None
+) -> Index:
+    """The index of some items; ``counts`` are those of the whole benchmark, or None if these items are all."""
     whole = [lowered(t) for _, t in items]
-    prints, at = word_prints(whole)
-    units, unit_item = [], []
-    for i in range(len(items)):
-        for lo in range(at[i], at[i + 1], SEGMENT):
-            units.append(prints[lo : min(lo + SEGMENT, at[i + 1])])
-            unit_item.append(i)
+    counts = counts or count(whole)
+    units, unit_item = cut_units(whole)
     counted = [np.unique(u, return_counts=True) for u in units]
     unit_at = np.concatenate([[0], np.cumsum([len(t) for t, _ in counted], dtype=np.int64)])
     flat = np.concatenate([t for t, _ in counted] + [np.zeros(0, np.uint64)])
     tf = np.concatenate([c for _, c in counted] + [np.zeros(0, np.int64)])
     terms, unit_term = np.unique(flat, return_inverse=True)
-    df = np.bincount(unit_term, minlength=len(terms))
-    idf = np.log(1 + (len(units) - df + 0.5) / (df + 0.5))
+    df = counts.holding[np.searchsorted(counts.terms, terms)]
+    idf = np.log(1 + (counts.units - df + 0.5) / (df + 0.5))
     length = np.array([len(u) for u in units], float)
     unit = np.repeat(np.arange(len(units)), np.diff(unit_at))
-    norm = K1 * (1 - B + B * length / (length.mean() if len(units) else 1))
+    norm = K1 * (1 - B + B * length / (counts.words / counts.units if counts.units else 1))
     impact = idf[unit_term] * tf * (K1 + 1) / (tf + norm[unit])
     impact = impact / np.bincount(unit, impact, len(units))[unit]
     key = unit_term * (len(units) // BLOCK + 1) + unit // BLOCK
@@ -111,7 +142,9 @@ def build(items: list[tuple[int | None, str | None]]) -> Index:
     parts = [question_and_answer(w) for w in whole]
     words = [(word_prints([q])[0], word_prints([a])[0]) for q, a in parts]
     named = [(i, q, a) for (i, _), (q, a) in zip(items, words, strict=True)]
-    return Index(terms, at_term, (unit // BLOCK)[order][head], block_max, unit_at, unit_term, impact, np.array(unit_item, np.int64), named)
+    block = (unit // BLOCK)[order][head]
+    unit_item = np.array(unit_item, np.int64)
+    return Index(terms, at_term, block, block_max, unit_at, unit_term, impact, unit_item, named, copies or [1] * len(items))
 
 
 def retrieve(index: Index, prints: np.ndarray, at: np.ndarray, threshold: float) -> list[tuple[int, int, int, float]]:
@@ -173,69 +206,111 @@ def verify(index: Index, words: np.ndarray, hits: list[tuple[int, int, float]],
             there = grams(near, min(gram, len(part))) if len(part) else mine
             overlap.append(float(np.isin(mine, there).mean()) if len(mine) else 1.0)
         if min(overlap) >= least:
-            leaks.append({"item_id": item, "score": max(s for _, s in got), "question_overlap": overlap[0], "answer_overlap": overlap[1]})
+            leak = {"item_id": item, "score": max(s for _, s in got), "question_overlap": overlap[0], "answer_overlap": overlap[1]}
+            leaks += [leak] * index.copies[i]
     return leaks
 
 
-def _flagger(index: Index, keep: list[str], threshold: float, least: float, gram: int) -> Callable:
+def _opened(parts: list[Broadcast]) -> Iterator[Index]:
+    """The parts' indexes, one in memory at a time."""
+    for part in parts:
+        yield pickle.loads(part.value)
+        if len(parts) > 1:
+            del part._value  # read again from the executor's copy when it is needed
+
+
+def _in_order(leak: dict) -> tuple:
+    item = leak["item_id"]
+    return item is not None, item or 0, leak["score"], leak["question_overlap"], leak["answer_overlap"]
+
+
+def _flagger(parts: list[Broadcast], keep: list[str], threshold: float, least: float, gram: int) -> Callable:
     kind = pa.list_(
         pa.struct([("item_id", pa.int64()), *((c, pa.float64()) for c in ("score", "question_overlap", "answer_overlap"))])
     )
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = next(_opened(parts)) if len(parts) == 1 else None
         for batch in batches:
             text = batch.column("text")
-            for lo, hi in arrays.slices(text):
-                texts = [lowered(t) for t in text[lo:hi].to_pylist()]
-                prints, at = word_prints(texts)
-                hits: dict[int, list] = {}
-                for t, passage, unit, score in retrieve(index, prints, at, threshold):
-                    hits.setdefault(t, []).append((passage, unit, score))
-                leaks = [verify(index, prints[at[t] : at[t + 1]], hits[t], least, gram) if t in hits else [] for t in range(hi - lo)]
-                columns = [batch.column(c)[lo:hi] for c in keep]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(leaks, kind)], [*keep, "leaks"])
+            leaks: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            # Several parts are each read once for a whole batch.
+            for index in [only] if only else _opened(parts):
+                for lo, hi in arrays.slices(text):
+                    prints, at = word_prints([lowered(t) for t in text[lo:hi].to_pylist()])
+                    hits: dict[int, list] = {}
+                    for t, passage, unit, score in retrieve(index, prints, at, threshold):
+                        hits.setdefault(t, []).append((passage, unit, score))
+                    for t, got in hits.items():
+                        leaks[lo + t] += verify(index, prints[at[t] : at[t + 1]], got, least, gram)
+            columns = [batch.column(c) for c in keep]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([sorted(x, key=_in_order) for x in leaks], kind)], [*keep, "leaks"])
 
     return flag
 
 
-def index_parts(benchmark: DataFrame) -> Iterator[Index]:
-    """The index of all items, in parts of about ``PART_BYTES`` of text, so that what is broadcast is bounded."""
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // PART_BYTES))
+def index_parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(part, payload): the index of all items in parts of about ``part_bytes`` of text, written to the shared folder.
+
+    Equal rows are one item with a number of copies, so that no part outgrows its bound through them.
+    """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    if parts > 1:
-        items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
-    for part in range(parts):
-        mine = items if parts == 1 else items.where(F.col("part") == part)
-        yield build([(r.item_id, r.text) for r in mine.orderBy("item_id").select("item_id", "text").collect()])
+    items = items.groupBy("item_id", "text").agg(F.count("*").alias("copies"))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // part_bytes))
+    items = materialize(items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))), "items")
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for text, copies, part in zip(*(batch.column(c).to_pylist() for c in ("text", "copies", "part")), strict=True):
+                mine = count([lowered(text)])
+                rows.append((part, None, copies * mine.units, copies * mine.words))
+                rows += [(part, t, copies * n, 0) for t, n in zip(mine.terms.view(np.int64).tolist(), mine.holding.tolist(), strict=True)]
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["part", "term", "n", "words"])
+
+    tallied = items.mapInArrow(tally, "part long, term long, n long, words long")
+    # The row without a term holds a part's units and words.
+    tallied = materialize(tallied.groupBy("part", "term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")), "terms")
+    units, words = tallied.where("term is null").agg(F.sum("n"), F.sum("words")).first()
+    everywhere = tallied.groupBy("term").agg(F.sum("n").alias("holding"))
+    needed = tallied.select("part", "term").join(everywhere, "term").select("part", "term", "holding")
+
+    def make(mine: pa.Table, terms: pa.Table) -> pa.Table:
+        key = terms.column("term").to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        counts = Counts(units, words, key[order], terms.column("holding").to_numpy()[order])
+        rows = zip(*(mine.column(c).to_pylist() for c in ("item_id", "text", "copies")), strict=True)
+        rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+        index = build([(i, t) for i, t, _ in rows], counts, [n for _, _, n in rows])
+        return pa.table({"part": pa.array([mine.column("part")[0].as_py()], pa.int64()), "payload": pa.array([pickle.dumps(index)], pa.binary())})
+
+    made = items.groupBy("part").cogroup(needed.groupBy("part")).applyInArrow(make, "part long, payload binary")
+    return materialize(made, "index")
 
 
 def flag_leaks(
-    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7, least_overlap: float = 0.6, gram: int = 5
+    docs: DataFrame,
+    benchmark: DataFrame,
+    threshold: float = 0.7,
+    least_overlap: float = 0.6,
+    gram: int = 5,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
-    """The documents with ``leaks``: the items that each text holds, with score and overlaps. No shuffle.
+    """The documents with ``leaks``: the items that each text holds, with score and overlaps. No shuffle of documents.
 
-    A column of the input named ``leaks`` is replaced; all others pass through.
+    A column of the input named ``leaks`` is replaced; all others pass through. The driver passes the parts on one by
+    one; executors keep them as broadcast blocks, on disk where memory is short.
     """
     keep = [c for c in docs.columns if c != "leaks"]
-    kind = T._parse_datatype_string(LEAK)
-    flagged = None
-    for index in index_parts(benchmark):
-        fields = [docs.schema[c] for c in keep]
-        if flagged is None:
-            flagged = docs.select(keep).mapInArrow(
-                _flagger(index, keep, threshold, least_overlap, gram), T.StructType([*fields, T.StructField("leaks", kind)])
-            )
-        else:
-            flagged = flagged.withColumnRenamed("leaks", "__before").mapInArrow(
-                _flagger(index, [*keep, "__before"], threshold, least_overlap, gram),
-                T.StructType([*fields, T.StructField("__before", kind), T.StructField("leaks", kind)]),
-            )
-            flagged = flagged.withColumn("leaks", F.concat("__before", "leaks")).drop("__before")
-    return flagged
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("leaks", T._parse_datatype_string(LEAK))])
+    context = docs.sparkSession.sparkContext
+    parts = [context.broadcast(bytes(row.payload)) for row in index_parts(benchmark, part_bytes).toLocalIterator()]
+    return docs.select(keep).mapInArrow(_flagger(parts, keep, threshold, least_overlap, gram), schema)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, **options: float | int) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): a row for each item that a document leaks."""
     flagged = flag_leaks(docs.select("doc_id", "text"), benchmark, **options)
     return flagged.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")

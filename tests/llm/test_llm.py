@@ -316,6 +316,21 @@ def test_leaks_edges(lspark, odd_docs, no_docs):
     assert decontaminate.leaks(odd_docs, bench.limit(0)).collect() == []
 
 
+def test_leaks_by_any_number_of_parts(lspark, mid_root):
+    """Scores are of the whole benchmark, so parts change no row; equal items stay apart from them."""
+    docs = lspark.read.parquet(f"{mid_root}/documents.parquet")
+    bench = lspark.read.parquet(f"{mid_root}/benchmark.parquet").select("item_id", "text")
+    bench = bench.union(bench.where("item_id < 3"))
+    size = sum(len((r.text or "").encode()) for r in bench.distinct().collect())
+    got = []
+    for parts in (1, 2, 7):
+        made = decontaminate.index_parts(bench, -(-size // parts))
+        assert made.count() == parts
+        rows = decontaminate.leaks(docs, bench, threshold=0.3, least_overlap=0.2, part_bytes=-(-size // parts)).collect()
+        got.append(sorted(map(tuple, rows)))
+    assert got[0] and got[1] == got[0] and got[2] == got[0]
+
+
 # op9
 def test_counts_are_the_library(case):
     import sentencepiece
