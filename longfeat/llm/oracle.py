@@ -135,10 +135,36 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
 FROM parts
 """
 
+#: Byte windows as pairs of hexadecimal digits; touching spans are one.
+BYTE_WINDOWS = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (
+  SELECT doc_id, base, substring(h, 2 * base + 1, 698) AS part
+  FROM docs, unnest(range(0, length(h) // 2, 300)) AS t(base) WHERE doc_id IS NOT NULL),
+windows AS (
+  SELECT doc_id, base + i AS a, hash(substring(part, 2 * i + 1, 100)) AS k1, md5_number_lower(substring(part, 2 * i + 1, 100)) AS k2
+  FROM parts, unnest(range(0, least(300, greatest(length(part) // 2 - 49, 0)))) AS t(i)),
+firsts AS (SELECT k1, k2, min(doc_id) AS first FROM windows GROUP BY k1, k2 HAVING min(doc_id) < max(doc_id)),
+late AS (SELECT w.doc_id, w.a FROM windows w JOIN firsts f USING (k1, k2) WHERE w.doc_id > f.first),
+marked AS (SELECT *, coalesce(a > lag(a) OVER (PARTITION BY doc_id ORDER BY a) + 50, TRUE) AS new FROM late),
+numbered AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY a) AS run FROM marked),
+spans AS (SELECT doc_id, run, min(a) AS a, max(a) + 50 AS b FROM numbered GROUP BY doc_id, run),
+gaps AS (
+  SELECT s.doc_id, s.a, s.b, substring(h, 2 * coalesce(lag(s.b) OVER w, 0) + 1, 2 * (s.a - coalesce(lag(s.b) OVER w, 0))) AS passed
+  FROM spans s JOIN docs USING (doc_id) WINDOW w AS (PARTITION BY s.doc_id ORDER BY s.a)),
+cut AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(passed, '' ORDER BY a) AS passed, max(b) AS stop
+  FROM gaps GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(passed, '') || substring(h, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (doc_id)
+"""
+
 ORACLE: dict[str, str] = {
     "op2_relative_lempel_ziv": WORD_WINDOWS,
     "op4_snapshot_collapse": SNAPSHOTS,
     "op5_line_dedup": LINES,
+    "op8_longest_previous_factor": BYTE_WINDOWS,
     "op10_parity_sketch_join": SHINGLES,
     "op11_rare_token_index": LICENSES,
     "op13_displacement_scatter": MIDDLES,

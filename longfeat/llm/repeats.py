@@ -53,7 +53,7 @@ class Unit:
     window: int = 50
     gram: int = 24
     many: int = 4096
-    many_in_block: int = 8
+    many_in_block: int = 4096
 
     def plain(self, text: bytes) -> bytes:
         """The text in the form that spans refer to."""
@@ -266,6 +266,16 @@ def merged(spans: np.ndarray) -> Spans:
     return list(zip(spans[at, 0].tolist(), reach[np.append(at[1:], len(spans)) - 1].tolist(), strict=True))
 
 
+def copies(at: np.ndarray, made: Pieces, which: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(first place, starts of all) of the pieces ``at`` that are the same in one text, so that each goes out once."""
+    at = at[np.lexsort((made.start[at], which[at], made.text[at]))]
+    new = np.ones(len(at), bool)
+    new[1:] = (which[at[1:]] != which[at[:-1]]) | (made.text[at[1:]] != made.text[at[:-1]])
+    edges = np.append(np.flatnonzero(new), len(at)).tolist()
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(at[a]), made.start[at[a:b]].astype("<i4").tobytes()
+
+
 def settle(unit: Unit, shape: Shape, with_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Of a block and its answers: finished documents, open ones, contested pieces and windows of hot anchors."""
 
@@ -300,11 +310,11 @@ def settle(unit: Unit, shape: Shape, with_text: bool) -> Callable[[pa.Table, pa.
         for lo, hi in block.ranges:
             made = cut(block.used[lo:hi], unit)
             here = (block.text >= lo) & (block.text < hi)
-            for at in np.flatnonzero(state[here] == CONTESTED).tolist():
+            for at, places in copies(np.flatnonzero(state[here] == CONTESTED), made, e["which"][here]):
                 i = int(made.text[at]) + lo
                 a, b = made.bytes_of(made.first[at], made.count[at] + unit.window - 1)
                 body = made.data[a:b].tobytes()
-                rows.append((2, block.doc[i], block.h[i], int(made.anchor[at].view(np.int64)), None, int(made.start[at]), body, *[None] * 5))
+                rows.append((2, block.doc[i], block.h[i], int(made.anchor[at].view(np.int64)), None, int(made.start[at]), body, places, *[None] * 4))
             hot = np.flatnonzero(state[here] == HOT)
             each = np.repeat(hot, made.count[hot])
             step = np.arange(len(each)) - np.repeat(np.cumsum(made.count[hot]) - made.count[hot], made.count[hot])
@@ -330,7 +340,8 @@ def finish(unit: Unit, plain: bytes, spans: Spans, with_text: bool) -> tuple:
 def compare(pieces: DataFrame, unit: Unit, mark: Mark) -> DataFrame:
     """Spans of contested pieces: whole anchor groups meet, in batches of about ``BATCH_BYTES``.
 
-    A group has ``unit.many`` different pieces at most, so a batch is bounded.
+    A group has ``unit.many`` different pieces at most, each once for a text with all its ``spans`` (starts) there, and
+    equal ones of later documents are settled before, so a batch is bounded.
     """
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +351,10 @@ def compare(pieces: DataFrame, unit: Unit, mark: Mark) -> DataFrame:
         def run(table: pa.Table) -> pa.RecordBatch:
             bodies = table.column("body").to_pylist()
             piece, a, b = mark(table.column("anchor").to_numpy(), table.column("doc").to_numpy(), bodies)
-            start = table.column("start").to_numpy()[piece]
+            starts = [np.frombuffer(x, "<i4") for x in table.column("spans").to_pylist()]
+            n = np.array([len(x) for x in starts], np.int64)[piece]
+            start = np.concatenate([*(starts[p] for p in piece.tolist()), np.zeros(0, np.int32)]).astype(np.int64)
+            piece, a, b = np.repeat(piece, n), np.repeat(a, n), np.repeat(b, n)
             found = table.select(["doc", "h"]).take(pa.array(piece)).combine_chunks()
             columns = [found.column("doc"), found.column("h"), start + a, start + b + unit.window - 1]
             arrow = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else pa.array(c, pa.int64()) for c in columns]
@@ -361,7 +375,7 @@ def compare(pieces: DataFrame, unit: Unit, mark: Mark) -> DataFrame:
         if held:
             yield run(pa.Table.from_batches(held))
 
-    sorted_pieces = pieces.select("anchor", "doc", "h", "start", "body").repartition("anchor").sortWithinPartitions("anchor", "doc", "h", "start")
+    sorted_pieces = pieces.select("anchor", "doc", "h", "start", "spans", "body").repartition("anchor").sortWithinPartitions("anchor", "doc", "h", "start")
     return sorted_pieces.mapInArrow(spans, "doc long, h long, a long, b long")
 
 

@@ -137,7 +137,7 @@ def test_quality_judges_rare_languages(lspark, mid_root):
 
 # op2, op8
 @pytest.mark.parametrize("unit", ["words", "bytes"])
-@pytest.mark.parametrize("many", [(4096, 8), (1, 8), (4096, 1)])
+@pytest.mark.parametrize("many", [(4096, 4096), (4096, 8), (1, 8), (4096, 1)])
 def test_repeats(case, unit, many):
     docs, rows = case
     module = rlz if unit == "words" else lpf
@@ -166,6 +166,44 @@ def test_runs_of_an_anchor_are_told_apart_by_whole_hashes():
     assert [x.tolist() for x in got] == [some[c][at].tolist() for c in ("key", "value", "doc", "many")]
 
 
+def longest_before(bodies, doc):
+    """Brute force: for each suffix of each piece its longest prefix that starts in a smaller document."""
+    found = []
+    for x, d in zip(bodies, doc, strict=True):
+        others = [y for y, e in zip(bodies, doc, strict=True) if e < d]
+        found += [max((n for n in range(len(x) - i + 1) if any(x[i : i + n] in y for y in others)), default=0) for i in range(len(x))]
+    return found
+
+
+def test_longest_previous_factors():
+    rng = np.random.default_rng(3)
+    for round_ in range(120):
+        n, letters = int(rng.integers(1, 6)), int(rng.integers(1, 4))
+        bodies = [bytes(rng.integers(97, 97 + letters, rng.integers(1, 45), np.uint8)) for _ in range(n)]
+        if round_ % 3 == 0:
+            bodies[-1] = bodies[0] + bodies[-1]
+        doc = np.sort(rng.integers(0, 4, n))
+        length = np.array([len(b) for b in bodies])
+        piece = np.repeat(np.arange(n), length)
+        left = length[piece] - np.arange(length.sum()) + (np.cumsum(length) - length)[piece]
+        got = lpf.previous_factors(np.frombuffer(b"".join(bodies), np.uint8), left, doc[piece])
+        assert got.tolist() == longest_before(bodies, doc.tolist())
+
+
+@pytest.mark.parametrize("module", [rlz, lpf])
+def test_repeated_piece_goes_out_once(lspark, module):
+    """A text of many equal periods sends each contested piece once; all its places lose what an earlier text has."""
+    period = " ".join(f"w{i}" for i in range(40))
+    rows = [(2, " ".join([period] * 500)), (1, period + " " + period.replace("w7 ", "")), (3, period + " " + period + " x")]
+    docs = lspark.createDataFrame(rows, "doc_id long, text string")
+    call, unit = (module.dedup_words, module.WORD_UNIT) if module is rlz else (module.dedup_bytes, module.BYTE_UNIT)
+    got = call(docs, unit=unit).select("doc_id", "n_symbols", "n_removed", "n_spans", "kept_sha256").collect()
+    assert plain(got) == plain(brute.repeats(rows, module is rlz))
+    made = repeats.cut([unit.plain(rows[0][1].encode())], unit)
+    sent = list(repeats.copies(np.arange(len(made.text)), made, np.unique(made.phrase, return_inverse=True)[1]))
+    assert len(sent) == len(np.unique(made.phrase)) < len(made.text) == sum(len(x) // 4 for _, x in sent)
+
+
 def test_repeats_return_text(odd_docs, odd):
     got = {r.kept_sha256: bytes(r.kept) for r in lpf.dedup_bytes(odd_docs, with_text=True).collect()}
     assert all(brute.sha(x) == s for s, x in got.items())
