@@ -24,7 +24,7 @@ def _ordered(rank: np.ndarray, some: np.ndarray, key: np.ndarray) -> tuple[np.nd
 
     A rank is the number of suffixes before; ``key`` orders by rank first.
     """
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     some, key = some[order], key[order]
     at = np.arange(len(some))
     old, same = rank[some], np.zeros(len(some) + 1, bool)
@@ -36,8 +36,8 @@ def _ordered(rank: np.ndarray, some: np.ndarray, key: np.ndarray) -> tuple[np.nd
     return made, np.sort(some[same[:-1] | same[1:]])
 
 
-def suffix_ranks(data: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
-    """Ranks of all places by their first 8, 16, 32, ... bytes, until no two are equal.
+def suffix_ranks(data: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """8 bytes from each place as a number, and ranks of all places by their first 8, 16, 32, ... until no two are equal.
 
     ``left`` is the number of bytes from a place to the end of its piece. A suffix shorter than the reach stands behind
     those that it is a prefix of and equals none: such ones are told apart by their place.
@@ -53,7 +53,12 @@ def suffix_ranks(data: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
     loads |= (np.uint64(1) << (short * 8).astype(np.uint64)) - np.uint64(1)
     place = np.arange(1, n + 1, dtype=np.int64)
     rank, equal = _ordered(np.zeros(n, np.int32), np.arange(n), loads)
-    rank, equal = _ordered(rank, equal, rank[equal].astype(np.int64) * (n + 1) + np.where(short > 0, place, 0)[equal])
+    with_short = np.zeros(n, bool)
+    with_short[rank[short > 0]] = True
+    mixed = with_short[rank[equal]]
+    some = equal[mixed]
+    rank, again = _ordered(rank, some, rank[some] * np.int64(n + 1) + np.where(short[some] > 0, place[some], 0))
+    equal = np.concatenate([equal[~mixed], again])
     ranks, reach = [rank], LOAD
     while len(equal):
         # Of the suffixes still equal to another, one that ends right at the reach is told apart now.
@@ -61,26 +66,27 @@ def suffix_ranks(data: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
         rank, equal = _ordered(rank, equal, rank[equal] * np.int64(2 * n + 1) + behind)
         ranks.append(rank)
         reach *= 2
-    return ranks
+    return loads, ranks
 
 
-def common_prefix(data: np.ndarray, left: np.ndarray, ranks: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def common_prefix(loads: np.ndarray, left: np.ndarray, ranks: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length of the common prefix of the suffixes at ``a`` and ``b``, each up to the end of its piece."""
     limit = np.minimum(left[a], left[b])
     common = np.zeros(len(a), np.int64)
     # No two suffixes are equal on the last level, so each level is needed once at most, and none without the first.
     long = np.flatnonzero(ranks[0][a] == ranks[0][b])
+    x, y, most = a[long], b[long], limit[long]
+    step = np.zeros(len(long), np.int64)
     for level in range(len(ranks) - 1, -1, -1):
-        at = long[common[long] < limit[long]]
-        step = common[at]
-        same = ranks[level][a[at] + step] == ranks[level][b[at] + step]
-        common[at[same]] += LOAD << level
-    at = np.flatnonzero(common < limit)
-    while len(at):
-        at = at[data[a[at] + common[at]] == data[b[at] + common[at]]]
-        common[at] += 1
-        at = at[common[at] < limit[at]]
-    return common
+        at = np.flatnonzero(step < most) if step.any() else slice(None)
+        same = ranks[level][x[at] + step[at]] == ranks[level][y[at] + step[at]]
+        step[at] += same * (LOAD << level)
+    common[long] = step
+    last = len(loads) - 1
+    apart = loads[np.minimum(a + common, last)] ^ loads[np.minimum(b + common, last)]
+    for n in range(1, LOAD):
+        common += apart < np.uint64(1 << 8 * (LOAD - n))  # another leading byte is equal
+    return np.minimum(common, limit)
 
 
 def previous_smaller(value: np.ndarray) -> np.ndarray:
@@ -101,14 +107,14 @@ def previous_factors(data: np.ndarray, left: np.ndarray, doc: np.ndarray) -> np.
     longest = np.zeros(n, np.int64)
     if not n:
         return longest
-    ranks = suffix_ranks(data, left)
+    loads, ranks = suffix_ranks(data, left)
     order = np.empty(n, np.int64)
     order[ranks[-1]] = np.arange(n)
     ordered = doc[order]
     for found in (previous_smaller(ordered), n - 1 - previous_smaller(ordered[::-1])[::-1]):
         there = np.flatnonzero((found >= 0) & (found < n))
         here = order[there]
-        longest[here] = np.maximum(longest[here], common_prefix(data, left, ranks, here, order[found[there]]))
+        longest[here] = np.maximum(longest[here], common_prefix(loads, left, ranks, here, order[found[there]]))
     return longest
 
 
