@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from longfeat.sources.storage import materialize
+
 WHITE = b" \t\n\x0b\x0c\r"
 OUT = ["n_lines", "n_dropped"]
 
@@ -54,7 +56,8 @@ def shared_lines(docs: DataFrame, least: int = 10, most_docs: int = 1) -> DataFr
     else:
         apart = keyed.select("key", "doc_id").distinct()
         shared = apart.groupBy("key").agg(first, F.count("*").alias("n")).where(F.col("n") > most_docs)
-    lost = keyed.join(shared.select("key", "first"), "key").where("doc_id > first")
+    # Written, so that both sides of the join come straight from a shuffle and Spark may split a very common line there.
+    lost = keyed.join(materialize(shared.select("key", "first"), "lines"), "key").where("doc_id > first")
     return lost.groupBy("doc_id", "text_hash").agg(F.collect_set("key").alias("keys"))
 
 

@@ -284,6 +284,25 @@ def test_line_limit(lspark):
     assert sum(r.n_dropped for r in linededup.drop_shared_lines(docs, most_docs=3).collect()) == 3
 
 
+def test_a_very_common_line_is_split(lspark):
+    rows = [(i, f"the one line that all texts hold\nown line number {i}") for i in range(6000)]
+    docs = lspark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    conf = {
+        "autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "2k",
+        "adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: lspark.conf.get(f"spark.sql.{k}", None) for k in conf}
+    try:
+        for k, v in conf.items():
+            lspark.conf.set(f"spark.sql.{k}", v)
+        lost = linededup.shared_lines(docs.selectExpr("doc_id", "xxhash64(text) as text_hash", "text"))
+        assert len(lost.collect()) == len(rows) - 1
+        assert "isSkew=true" in str(lost._jdf.queryExecution().executedPlan()) or "skew=true" in str(lost._jdf.queryExecution().executedPlan())
+    finally:
+        for k, v in before.items():
+            lspark.conf.unset(f"spark.sql.{k}") if v is None else lspark.conf.set(f"spark.sql.{k}", v)
+
+
 # op6
 @pytest.mark.parametrize("size,windows", [(2048, 32), (64, 2)])
 def test_packing(case, size, windows):
