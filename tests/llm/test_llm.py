@@ -490,6 +490,25 @@ def test_components(lspark):
     assert dict(map(tuple, got)) == want and len(got) == len(want)
 
 
+def test_components_of_random_edges(lspark):
+    for seed, n in enumerate((20, 60, 120)):
+        draw = np.random.default_rng(seed)
+        edges = draw.integers(0, 100, (n, 2)).tolist()
+        least = list(range(100))
+        for _ in range(100):
+            for x, y in edges:
+                least[x] = least[y] = min(least[x], least[y])
+        got = graph.components(lspark.createDataFrame(edges, "x long, y long"), "x", "y").collect()
+        assert sorted(map(tuple, got)) == sorted((i, least[i]) for i in {i for x, y in edges if x != y for i in (x, y)})
+
+
+def test_stars_need_no_round(lspark, monkeypatch):
+    monkeypatch.setattr(graph, "_large_star", None)
+    for edges, want in ([(3, 1), (1, 2), (4, 4)], {1: 1, 2: 1, 3: 1}), ([], {}):
+        got = graph.components(lspark.createDataFrame(edges, "x long, y long"), "x", "y")
+        assert dict(map(tuple, got.collect())) == want
+
+
 # all
 def test_empty_tables(lspark, no_docs, tmp_path):
     tokenfile.write_token_files(no_docs, str(tmp_path / "t"), WORDS)
