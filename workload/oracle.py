@@ -538,7 +538,7 @@ oracle(
 # The outcome of the model queries is either of two indicators, or the most frequent concept of a domain.
 RULE = """SELECT b.person_id, greatest(coalesce(ind3_indicator, 0), coalesce(ind5_indicator, 0)) AS predicted
     FROM base b LEFT JOIN rollup r ON r.person_id = b.person_id"""
-for kind in ("lr", "lr_balanced", "rf", "gbt"):
+for kind in ("lr", "lr_balanced", "rf", "gbt", "gbt_exponential"):
     oracle(f"model_{kind}", RULE)
 TOP_CLICK = "SELECT concept_id FROM tagged WHERE domain = 'cli' AND concept_id IS NOT NULL GROUP BY concept_id ORDER BY count(*) DESC, concept_id LIMIT 1"
 for kind in ("lr", "lr_balanced", "rf", "gbt", "mlp"):
@@ -573,7 +573,20 @@ oracle(
     """SELECT candidate, fold, rows, true AS winner_is_least FROM (SELECT unnest(['c0', 'c2', 'c4']) AS candidate),
     (SELECT CAST(CAST('0x' || substr(md5('5:' || person_id), 1, 8) AS BIGINT) % 3 AS INTEGER) AS fold, count(*) AS rows FROM base GROUP BY fold)""",
 )
-
+# A leaf moves its margin f by a quarter of (p exp(-f) - q exp(f)) / (p exp(-f) + q exp(f)), p and q its persons of each outcome.
+oracle(
+    "boost_rounds",
+    """SELECT round, rows, loss FROM (WITH RECURSIVE leaves AS (
+        SELECT coalesce(ind3_indicator, 0) AS a, coalesce(ind5_indicator, 0) AS b,
+            count(*) FILTER (coalesce(outcome, 0) = 1) AS p, count(*) FILTER (coalesce(outcome, 0) <> 1) AS q
+        FROM base c LEFT JOIN rollup r ON r.person_id = c.person_id LEFT JOIN outcome o ON o.person_id = c.person_id GROUP BY 1, 2),
+    turns AS (
+        SELECT 0 AS round, a, b, p, q, 0.5::DOUBLE * ln(sum(p) OVER () / sum(q) OVER ()) AS f FROM leaves
+        UNION ALL
+        SELECT round + 1, a, b, p, q, f + 0.25::DOUBLE * (p * exp(-f) - q * exp(f)) / (p * exp(-f) + q * exp(f)) FROM turns WHERE round < 8)
+    SELECT round, CAST(sum(p + q) AS BIGINT) AS rows, round(sum(p * exp(-f) + q * exp(f)) / sum(p + q), 6) AS loss
+    FROM turns GROUP BY round)""",
+)
 oracle(
     "ensemble_scores",
     """SELECT person_id, score_a, score_b, score_c,

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from longfeat.operators import boosting
 from longfeat.operators import cohort as co
 from longfeat.operators import dayfacts as df_
 from longfeat.operators import doses as do
@@ -856,6 +857,34 @@ def model_grid(v: Views) -> DataFrame:
     return judged.select("candidate", "fold", "rows", (~won | (F.col("mean") == least)).alias("winner_is_least"))
 
 
+def vectors_of(frame: DataFrame, names: list[str]) -> DataFrame:
+    """(person_id, features, outcome), written once for the rounds that read it."""
+    filled = frame.select("person_id", "outcome", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
+    table = VectorAssembler(inputCols=names, outputCol="features").transform(filled)
+    return storage.materialize(table.select("person_id", "features", F.col("outcome").cast("double").alias("outcome")), "vectors")
+
+
+@query
+def model_gbt_exponential(v: Views) -> DataFrame:
+    """Boosting by exponential loss on subsamples of rows and features finds the rule of two indicators."""
+    frame, features = training(v)
+    table = vectors_of(frame, sorted(features))
+    model = boosting.fit_exponential(table, rounds=20, depth=4, step=0.3, subset="onethird")
+    return predicted(learn.score_vectors({"gbt_exponential": model}, table), "gbt_exponential")
+
+
+@query
+def boost_rounds(v: Views) -> DataFrame:
+    """The mean row weight of every round, over all persons, for the recorded outcome and two features.
+
+    Trees of depth 2 tell all four values of two indicators apart, so every round has a closed form.
+    """
+    frame, _ = training(v)
+    table = vectors_of(la.attach_outcome(frame.drop("outcome"), la.outcome(v.labels())), list(RULE))
+    model = boosting.fit_exponential(table, rounds=8, depth=2, step=0.25, share=1.0, subset="all")
+    return rounded(boosting.round_losses(model, table), "loss")
+
+
 @query
 def ensemble_scores(v: Views) -> DataFrame:
     orders = v.table("orders").groupBy(F.col("o_custkey").alias("person_id")).agg(
