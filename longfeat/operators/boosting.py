@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +67,27 @@ def fit_exponential(
     return PipelineModel([*trees, *margin_stages(rounds, start, step)])
 
 
+class ExponentialBoost(Estimator):
+    """``fit_exponential`` as a stage, for the specs of a family; the options are its own.
+
+    The rows need the key that subsamples are drawn by.
+    """
+
+    def __init__(self, **options):
+        super().__init__()
+        self.options = options
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        return fit_exponential(dataset, **self.options)
+
+
+def importances(model: PipelineModel) -> list[float]:
+    """The share of each feature in the gains of the trees, every tree that splits counting alike."""
+    each = [s.featureImportances.toArray() for s in model.stages if isinstance(s, DecisionTreeRegressionModel)]
+    total = sum(each)
+    return (total / (total.sum() or 1.0)).tolist()
+
+
 def margin_stages(rounds: int, start: float, step: float) -> list:
     """From the trees' columns: the margins and the probabilities of both classes."""
     leaves = f"array({', '.join(f'tree_{i}' for i in range(rounds))})"

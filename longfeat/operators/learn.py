@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from longfeat.operators.boosting import importances
 from longfeat.operators.cohort import hash_position
 from longfeat.operators.metrics import candidate_losses, log_loss
 from longfeat.sources.storage import materialize
@@ -123,9 +124,15 @@ def cell_vectors(people: DataFrame, cells: DataFrame, names: Sequence[str], key:
     return place_vectors(people, cells.join(F.broadcast(table), "feature").select(key, "place"), len(names), key)
 
 
-def fit_vectors(table: DataFrame, specs: Mapping[str, Sequence[Estimator]]) -> dict[str, PipelineModel]:
-    """Fit every spec on the same (features, outcome) rows, which are kept while the fits read them repeatedly."""
-    vectors = balance_weights(table).select("features", "outcome", WEIGHT).persist(StorageLevel.MEMORY_AND_DISK)
+def fit_vectors(
+    table: DataFrame, specs: Mapping[str, Sequence[Estimator]], key: str = "person_id"
+) -> dict[str, PipelineModel]:
+    """Fit every spec on the same (features, outcome) rows, which are kept while the fits read them repeatedly.
+
+    The key stays where the table has one: some models draw their subsamples by it.
+    """
+    kept = [key] if key in table.columns else []
+    vectors = balance_weights(table).select(*kept, "features", "outcome", WEIGHT).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return {name: Pipeline(stages=list(stages)).fit(vectors) for name, stages in specs.items()}
     finally:
@@ -143,13 +150,15 @@ def score_vectors(models: Mapping[str, PipelineModel], vectors: DataFrame, key:
 
 
 def fit_models(
-    df: DataFrame, features: Sequence[str], label: str, specs: Mapping[str, Sequence[Estimator]]
+    df: DataFrame, features: Sequence[str], label: str, specs: Mapping[str, Sequence[Estimator]], key: str = "person_id"
 ) -> dict[str, PipelineModel]:
     """Fit every spec on the same assembled columns; each model holds the assembler."""
     features = sorted(features)
     assembler = VectorAssembler(inputCols=features, outputCol="features")
-    aligned = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features], F.col(label).cast("double").alias("outcome"))
-    fitted = fit_vectors(assembler.transform(aligned).select("features", "outcome"), specs)
+    kept = [key] if key in df.columns and key not in features else []
+    filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]
+    aligned = df.select(*kept, *filled, F.col(label).cast("double").alias("outcome"))
+    fitted = fit_vectors(assembler.transform(aligned).select(*kept, "features", "outcome"), specs, key)
     return {name: PipelineModel([assembler, *model.stages]) for name, model in fitted.items()}
 
 
@@ -242,18 +251,20 @@ def grid_search(
     placed = table.withColumn("fold", fold_of(key, folds, seed))
     parts = []
     for fold in range(folds):
-        models = fit_vectors(placed.where(F.col("fold") != fold), specs)
+        models = fit_vectors(placed.where(F.col("fold") != fold), specs, key)
         held = placed.where(F.col("fold") == fold)
         parts.append(score_vectors(models, held, key).join(held.select(key, "fold", "outcome"), key))
     scored = reduce(DataFrame.unionByName, parts)
     losses = materialize(grid_losses(scored, "outcome", {n: n for n in specs}), "grid")
     best = grid_ranks(losses).where("rank = 1").first().candidate
-    return best, fit_vectors(table, {best: specs[best]})[best], losses
+    return best, fit_vectors(table, {best: specs[best]}, key)[best], losses
 
 
 def model_weights(model: PipelineModel) -> list[float]:
     """Feature importances of a tree ensemble or coefficients of a linear model."""
     last = model.stages[-1]
+    if isinstance(last, PipelineModel):  # boosted trees
+        return importances(last)
     values = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
     return [float(v) for v in values.toArray()]
 

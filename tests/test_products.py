@@ -7,14 +7,15 @@ import pytest
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.sql import functions as F
 
+from longfeat.operators.boosting import ExponentialBoost
 from longfeat.operators.cohort import build_cohort
-from longfeat.operators.learn import feature_ranks, select_best
+from longfeat.operators.learn import feature_ranks, model_weights, select_best
 from longfeat.operators.lookback import recent_counts, recent_rows
 from longfeat.operators.labels import attach_outcome, outcome, restrict, split_exact
 from longfeat.operators.topk import topk_cells
 from longfeat.plans import modelling, products
 from longfeat.sources.schemas import PERSON_TABLES, VOCABULARY_TABLES
-from longfeat.sources.storage import materialize, shared_dir, write_table
+from longfeat.sources.storage import load_columns, materialize, shared_dir, write_table
 from longfeat.sources.tables import conform, load_tables, operator_tables, subset, subset_rows
 
 LINES = {
@@ -120,6 +121,20 @@ def test_sparse_cells_train_and_score_like_columns(spark, product, tmp_path):
     assert {r.person_id: r.lr_matrix for r in again.collect()} == pytest.approx(scores[0])
 
 
+def test_exponential_boosting_as_a_spec(spark, product, tmp_path):
+    tables, cohort, days = product
+    summary, cells = products.build_summary(days, cohort), topk_cells(products.topk_domains(tables), k=5)
+    models = {"gbt": [ExponentialBoost(rounds=3, depth=3, step=0.3, cut=2)]}
+    fitted = modelling.train(summary, cells, tables["label"], str(tmp_path), models, models)
+    out = modelling.predict(summary, cells, cohort, str(tmp_path), ["gbt"]).collect()
+    assert len(out) == cohort.count() and all(0 < r.gbt_matrix < 1 and 0 < r.gbt_summary < 1 for r in out)
+    assert len({round(r.gbt_summary, 9) for r in out}) > 1
+    columns = load_columns(spark, f"{tmp_path}/summary_columns")
+    weights = model_weights(fitted["summary"]["gbt"])
+    assert len(weights) == len(columns) and sum(weights) == pytest.approx(1) and min(weights) >= 0
+    assert [r["rank"] for r in feature_ranks(spark, fitted["summary"]["gbt"], columns, 3).collect()] == [1, 2, 3]
+
+
 def test_windows_split_and_subsets(product):
     tables, cohort, days = product
     counts = recent_counts(recent_rows(days))
