@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from longfeat.functions.joins import BROADCAST_BYTES, fits
-from longfeat.operators.dayfacts import day_facts, fill_zero, in_episode
+from longfeat.operators.dayfacts import day_facts, fill_zero
 from longfeat.operators.doses import (
     dose_days,
     dose_events,
@@ -98,11 +98,11 @@ def person_days(
         parts.append(measure_rows(measures, bounds, roles, tests, results, small_fits=small_fits))
     if doses is not None:
         parts.append(doses)
-    days = day_facts(encounters, parts, indicators, fill=False, cohort=cohort)
+    days = day_facts(encounters, parts, indicators, fill=False, cohort=cohort, episodes=episodes)
     if roles is not None:
         days = body_index(days)
     if episodes is not None:
-        days = in_episode(days, episodes)
+        days = days.select(*[c for c in days.columns if c != "in_episode"], "in_episode")
     return fill_zero(days, KEEP_NULL) if fill else days
 
 

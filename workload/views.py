@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,8 +72,13 @@ class Views:
 
     @cached_property
     def small(self) -> bool:
-        """Size check of the part dimension, which bounds every vocabulary view and lookup made from it."""
-        return fits(self.table("part").select("p_partkey", "p_name"), BROADCAST_BYTES // len(ROUTES))
+        """Size check of the vocabulary views, which bound every lookup made from them.
+
+        Their own distinct rows count: the part dimension they come from grows while the vocabulary does not.
+        """
+        views = [self.members(), self.measure_members(), self.mention_members()]
+        stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), views)
+        return fits(stacked, BROADCAST_BYTES // len(ROUTES))
 
     # events
     def occ(self) -> DataFrame:
