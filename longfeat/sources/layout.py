@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from longfeat.sources.storage import fresh_path, remove
 
@@ -24,6 +25,11 @@ def bucket_count(spark: SparkSession, total_bytes: int, least: int | None = None
     return least * max(1, -(-total_bytes // (BUCKET_BYTES * least)))
 
 
+def row_bytes(df: DataFrame) -> int:
+    """What a row of fixed-width columns holds in a task: 8 bytes a field and 16 for the row; texts count as 32."""
+    return 16 + sum(32 if isinstance(f.dataType, (T.StringType, T.BinaryType)) else 8 for f in df.schema)
+
+
 def store_by_person(df: DataFrame, name: str, buckets: int, key: str = "person_id", order: Sequence[str] = ("day",)) -> str:
     """Write ``df`` once, bucketed by ``key`` and sorted inside; the name of the table comes back.
 

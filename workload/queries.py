@@ -435,7 +435,14 @@ BUCKETS = 8
 
 
 def stored_days(v: Views) -> DataFrame:
-    return layout.stored(facts(v), "person_days", BUCKETS)
+    days = facts(v)
+    return layout.stored(days, "person_days", day_buckets(v, days))
+
+
+def day_buckets(v: Views, days: DataFrame) -> int:
+    """Buckets for person-days, which are at most as many as the rows of their sources (counts of the files' footers)."""
+    rows = sum(v.table(t).count() for t in ("orders", "lineitem", "events"))
+    return layout.bucket_count(v.spark, rows * layout.row_bytes(days), BUCKETS)
 
 
 @query
@@ -446,8 +453,10 @@ def product_person_days(v: Views) -> DataFrame:
 @query
 def product_summary(v: Views) -> DataFrame:
     """The summary from two stored tables of equal layout."""
-    cohort = layout.stored(co.build_cohort(v.person(), v.enc(), vw.AS_OF), "cohort", BUCKETS)
-    return rounded(summarised(stored_days(v), cohort), "m8_mean")
+    days = facts(v)
+    buckets = day_buckets(v, days)
+    cohort = layout.stored(co.build_cohort(v.person(), v.enc(), vw.AS_OF), "cohort", buckets)
+    return rounded(summarised(layout.stored(days, "person_days", buckets), cohort), "m8_mean")
 
 
 @query
@@ -458,7 +467,8 @@ def product_lookback(v: Views) -> DataFrame:
 @query
 def product_sequences(v: Views) -> DataFrame:
     days = me.measure_days(v.meas(), v.cohort(), vw.BOUNDS).select("person_id", "day", *STEP_FEATURES)
-    recent = lookback.recent_rows(layout.stored(days, "measure_days", BUCKETS))
+    buckets = layout.bucket_count(v.spark, v.table("lineitem").count() * layout.row_bytes(days), BUCKETS)
+    recent = lookback.recent_rows(layout.stored(days, "measure_days", buckets))
     return seq.flatten_steps(seq.sequences(recent, STEP_FEATURES), STEP_FEATURES)
 
 
