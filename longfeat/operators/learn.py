@@ -26,6 +26,8 @@ from longfeat.sources.storage import materialize
 from longfeat.sources.tables import inline
 
 WEIGHT = "class_weight"
+#: What a partition of training rows may hold, as 8 bytes for each column of each row.
+VECTOR_BYTES = 64 << 20
 
 
 def matrix_specs(rows: int, width: int) -> dict[str, list[Estimator]]:
@@ -124,6 +126,20 @@ def cell_vectors(people: DataFrame, cells: DataFrame, names: Sequence[str], key:
     return place_vectors(people, cells.join(F.broadcast(table), "feature").select(key, "place"), len(names), key)
 
 
+def spread_vectors(table: DataFrame, key: str = "person_id") -> DataFrame:
+    """The rows dealt to partitions of ``VECTOR_BYTES`` of values each, every column counted, since trees keep an entry for each.
+
+    A written table of sparse vectors is small, so its files give few partitions, and one with a single row group gives
+    one whatever its size. A table that fits in one partition stays as it lies.
+    """
+    first = table.select("features").first()
+    parts = -(-table.count() * first.features.size * 8 // VECTOR_BYTES) if first else 0
+    if parts <= 1:
+        return table
+    by = [key] if key in table.columns else []
+    return table.repartition(max(parts, table.sparkSession.sparkContext.defaultParallelism), *by)
+
+
 def fit_vectors(
     table: DataFrame, specs: Mapping[str, Sequence[Estimator]], key: str = "person_id"
 ) -> dict[str, PipelineModel]:
@@ -132,7 +148,8 @@ def fit_vectors(
     The key stays where the table has one: some models draw their subsamples by it.
     """
     kept = [key] if key in table.columns else []
-    vectors = balance_weights(table).select(*kept, "features", "outcome", WEIGHT).persist(StorageLevel.MEMORY_AND_DISK)
+    weighted = balance_weights(spread_vectors(table, key))
+    vectors = weighted.select(*kept, "features", "outcome", WEIGHT).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return {name: Pipeline(stages=list(stages)).fit(vectors) for name, stages in specs.items()}
     finally:

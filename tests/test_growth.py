@@ -2,7 +2,10 @@
 
 import re
 
-from longfeat.operators import dayfacts
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import Vectors
+
+from longfeat.operators import dayfacts, learn
 from longfeat.sources import layout
 from workload import queries, views
 from workload.views import Views
@@ -57,3 +60,25 @@ def test_buckets_grow_with_the_sources(spark, small_root, monkeypatch):
     most = max(spark.read.parquet(f).count() for f in files)
     assert most * layout.row_bytes(days) <= 2 * layout.BUCKET_BYTES
     assert layout.row_bytes(spark.range(1).selectExpr("id", "cast(id as string) as t")) == 56
+
+
+def test_partitions_of_vectors_grow_with_rows_and_width(spark, tmp_path, monkeypatch):
+    """A file of one row group is dealt out before the fits; keys may be null or repeat."""
+    data = [(None if i % 50 == 0 else i // 2, Vectors.sparse(200, [i % 200], [1.0]), float(i % 2)) for i in range(1000)]
+    spark.createDataFrame(data, ["person_id", "features", "outcome"]).coalesce(1).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    assert learn.spread_vectors(table).rdd.getNumPartitions() == 1
+    assert learn.spread_vectors(table.limit(0)).count() == 0
+    monkeypatch.setattr(learn, "VECTOR_BYTES", 100_000)
+    for some in (table, table.drop("person_id")):
+        sizes = learn.spread_vectors(some).rdd.glom().map(len).collect()
+        assert len(sizes) == 16 and sum(sizes) == 1000 and max(sizes) < 200
+    held = {}
+
+    class Seen(LogisticRegression):
+        def _fit(self, dataset):
+            held["parts"] = dataset.rdd.getNumPartitions()
+            return super()._fit(dataset)
+
+    learn.fit_vectors(table, {"lr": [Seen(labelCol="outcome", maxIter=1)]})
+    assert held["parts"] == 16
