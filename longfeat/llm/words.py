@@ -15,7 +15,8 @@ import numpy as np
 MEMO = 900_000
 CALL_WORDS = 500
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-LETTERS = frozenset(bytes([c]) for c in range(256) if chr(c).isalpha() and c < 128)
+#: UTF-8 of Latin letters whose lower case is one letter; the others have marks that join what stands behind them.
+LETTERS = frozenset(chr(c).encode() for c in range(0x250) if chr(c).isalpha() and len(chr(c).lower()) == 1)
 
 
 class WordEncoder:
@@ -31,6 +32,7 @@ class WordEncoder:
         self.special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.between = self.special[-1]
         self.between_id = self.tokenizer.token_to_id(self.between)
+        self.last = self._last_tokens()
         self.memo: dict[bytes, bytes] = {}
 
     @classmethod
@@ -50,40 +52,70 @@ class WordEncoder:
         get = self.memo.__getitem__
         return [b"".join(map(get, parts)) for parts in split]
 
+    def _last_tokens(self) -> np.ndarray | None:
+        """Which ids end a pre-token, where the tokenizer marks them and has such an id for every byte; else None."""
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        ends = [(t, i) for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]
+        if sum(len(t) == len(suffix or "") + 1 for t, _ in ends) < 256:
+            return None
+        last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        last[[i for _, i in ends]] = True
+        return last
+
     def _learn(self, seen: set[bytes]) -> None:
-        new = [w for w in seen if w not in self.memo]
+        new = seen.difference(self.memo)
         if len(self.memo) + len(new) > MEMO:
-            self.memo, new = {}, list(seen)
-        apart = [w for w in new if b"<|" in w]
-        self.memo.update((w, self._alone(w)) for w in apart)
+            self.memo, new = {}, seen
         # Letters and the punctuation behind them are separate pre-tokens: "word," is "word" and ",".
-        composed, plain = [], set()
+        apart, composed, plain = [], [], set()
         for w in new:
-            head = w.rstrip(PUNCTUATION)
             if b"<|" in w:
+                apart.append(w)
                 continue
-            if head[-1:] in LETTERS and len(head) < len(w):
-                composed.append((w, head, w[len(head) :]))
-                plain.update(composed[-1][1:])
+            head = w.rstrip(PUNCTUATION)
+            if len(head) < len(w) and (head[-1:] in LETTERS or head[-2:] in LETTERS):
+                tail = w[len(head) :]
+                composed.append((w, head, tail))
+                plain.add(head)
+                plain.add(tail)
             else:
                 plain.add(w)
-        plain = [w for w in plain if w not in self.memo]
-        for i in range(0, len(plain), CALL_WORDS):
-            some = plain[i : i + CALL_WORDS]
-            joined = self.between.join(w.decode("utf-8", "surrogatepass") for w in some)
-            got = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(got == self.between_id)
-            if len(cuts) != len(some) - 1:  # a word that the library reads together with the mark beside it
-                self.memo.update((w, self._alone(w)) for w in some)
-                continue
-            data = got.tobytes()
-            ends = np.append(cuts, len(got)).tolist()
-            at = 0
-            for w, end in zip(some, ends, strict=True):
-                self.memo[w] = data[4 * at : 4 * end]
-                at = end + 1
-        self.memo.update((w, self.memo[head] + self.memo[tail]) for w, head, tail in composed)
-
-    def _alone(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "surrogatepass")
+        self.memo.update((w, self._alone(w)) for w in apart)
+        plain.difference_update(self.memo)
+        letters, others = [], []
+        for w in plain:
+            text = w.decode("utf-8", "surrogatepass")
+            (letters if self.last is not None and text.isalpha() else others).append(text)
+        for i in range(0, len(letters), CALL_WORDS):
+            self._spaced(letters[i : i + CALL_WORDS])
+        for i in range(0, len(others), CALL_WORDS):
+            self._marked(others[i : i + CALL_WORDS])
+        for w, head, tail in composed:
+            self.memo[w] = self.memo[head] + self.memo[tail]
+
+    def _spaced(self, some: list[str]) -> None:
+        """Words of letters only, with spaces between. Each has a pre-token at least, so equal counts mean one each."""
+        got = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[got]) + 1
+        if len(ends) != len(some):  # a letter that becomes a letter and a mark
+            self._marked(some)
+            return
+        self._keep(some, got.tobytes(), [0, *ends[:-1].tolist()], ends.tolist())
+
+    def _marked(self, some: list[str]) -> None:
+        """Any words, with a special token between."""
+        joined = self.between.join(some)
+        got = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(got == self.between_id)
+        if len(cuts) != len(some) - 1:  # a word that the library reads together with the mark beside it
+            self.memo.update((w.encode("utf-8", "surrogatepass"), self._alone(w)) for w in some)
+            return
+        self._keep(some, got.tobytes(), [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(got)])
+
+    def _keep(self, some: list[str], data: bytes, starts: list[int], ends: list[int]) -> None:
+        for w, a, b in zip(some, starts, ends, strict=True):
+            self.memo[w.encode("utf-8", "surrogatepass")] = data[4 * a : 4 * b]
+
+    def _alone(self, word: bytes | str) -> bytes:
+        text = word if isinstance(word, str) else word.decode("utf-8", "surrogatepass")
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

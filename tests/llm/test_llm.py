@@ -222,6 +222,25 @@ def test_word_encoder_is_the_library(small, odd):
     assert WordEncoder(WORDS).ids(texts) == library_ids(texts)
 
 
+def test_word_encoder_asks_for_letters_once():
+    """Latin letters beyond ASCII leave their punctuation too; letters that become a letter and a mark do not."""
+    marked = ["\u0130 \u0130. \u0130stanbul, \u0958 \u0958. \u0958, x\u0958, \ufb1d. e\u0301. \u0149. \u01c5, \u00df.", "\u00aa. \u00ba, \uac00. \u1100\u1161, \u00e9's \u00e9', \u00a0 a\u00a0b \u3000, \u0663. \u00bd."]
+    encoder = WordEncoder(WORDS)
+    assert encoder.ids(marked) == library_ids(marked)
+    plain = ["\u00f6ffnung \u00f6ffnung, \u00f6ffnung. caf\u00e9!", "caf\u00e9 na\u00efve"]
+    asked, given = [], WordEncoder(WORDS)
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            asked.extend(texts)
+            return encoder.tokenizer.encode_batch_fast(texts, **kw)
+
+    given.tokenizer = Counted()
+    assert given.ids(plain) == library_ids(plain)
+    assert sorted(w for t in asked if encoder.between not in t for w in t.split()) == ["caf\u00e9", "na\u00efve", "\u00f6ffnung"]
+    assert sum(len(t.split(encoder.between)) for t in asked if encoder.between in t) == 3
+
+
 def test_token_files(lspark, case, tmp_path):
     docs, rows = case
     tokenfile.write_token_files(docs, str(tmp_path / "t"), WORDS, 1, parts=3)
