@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressionModel, RandomForestRegressor
@@ -40,9 +41,10 @@ def fit_exponential(
     """Boosted trees over ``features`` for ``outcome`` (0 or 1); rows without an outcome are left out.
 
     Each round fits a tree of ``depth`` on a hash-chosen ``share`` of the rows, every node on a ``subset`` of the
-    features, and moves all margins by ``step`` times its leaves. The rows with their margins are written to the shared
-    folder every ``cut`` rounds, so neither lineage nor plan grows with the rounds. The model is a plain pipeline that
-    can be saved; it adds ``margin``, ``margins`` (before and after each round, computed only where read) and ``probability``.
+    features, and moves all margins by ``step`` times its leaves. The margins of the last round are kept, since a fit reads
+    its rows several times, so a round applies one tree and not all before it. They are written to the shared folder every
+    ``cut`` rounds, so neither lineage nor plan grows with the rounds. The model is a plain pipeline that can be saved;
+    it adds ``margin``, ``margins`` (before and after each round, computed only where read) and ``probability``.
     """
     known = table.where(F.col("outcome").isNotNull())
     rows, ones = known.agg(F.count(F.lit(1)), F.count_if(F.col("outcome") == 1)).first()
@@ -51,19 +53,28 @@ def fit_exponential(
     start = 0.5 * math.log(ones / (rows - ones))
     state = known.select(key, "features", F.when(F.col("outcome") == 1, 1.0).otherwise(-1.0).alias("signed"))
     state = state.withColumn("margin", F.lit(start))
-    trees = []
-    for turn in range(rounds):
-        if turn % cut == 0:
-            state = materialize(state, "boost")
-        weighted = state.withColumn("weight", F.exp(-F.col("signed") * F.col("margin")))
-        learner = RandomForestRegressor(
-            labelCol="signed", weightCol="weight", numTrees=1, bootstrap=False, featureSubsetStrategy=subset,
-            maxDepth=depth, minInstancesPerNode=least_rows, seed=seed + turn,
-        )
-        tree = learner.fit(weighted.where(in_share(key, share, seed, turn))).trees[0].setPredictionCol(f"tree_{turn}")
-        trees.append(tree)
-        moved = F.col("margin") + step * F.col(f"tree_{turn}")
-        state = tree.transform(state).select(key, "features", "signed", moved.alias("margin"))
+    trees, kept = [], None
+    try:
+        for turn in range(rounds):
+            if turn % cut == 0:
+                state = materialize(state, "boost")
+            before, kept = kept, state.persist(StorageLevel.MEMORY_AND_DISK)
+            weighted = state.withColumn("weight", F.exp(-F.col("signed") * F.col("margin")))
+            learner = RandomForestRegressor(
+                labelCol="signed", weightCol="weight", numTrees=1, bootstrap=False, featureSubsetStrategy=subset,
+                maxDepth=depth, minInstancesPerNode=least_rows, seed=seed + turn,
+            )
+            try:
+                tree = learner.fit(weighted.where(in_share(key, share, seed, turn))).trees[0]
+            finally:
+                if before is not None:
+                    before.unpersist()
+            trees.append(tree.setPredictionCol(f"tree_{turn}"))
+            moved = F.col("margin") + step * F.col(f"tree_{turn}")
+            state = trees[-1].transform(state).select(key, "features", "signed", moved.alias("margin"))
+    finally:
+        if kept is not None:
+            kept.unpersist()
     return PipelineModel([*trees, *margin_stages(rounds, start, step)])
 
 

@@ -868,10 +868,10 @@ def model_grid(v: Views) -> DataFrame:
 
 
 def vectors_of(frame: DataFrame, names: list[str]) -> DataFrame:
-    """(person_id, features, outcome), written once for the rounds that read it."""
+    """(person_id, features, outcome), written once for the rounds that read it and dealt by its values."""
     filled = frame.select("person_id", "outcome", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
     table = VectorAssembler(inputCols=names, outputCol="features").transform(filled)
-    return storage.materialize(table.select("person_id", "features", F.col("outcome").cast("double").alias("outcome")), "vectors")
+    return learn.spread_vectors(storage.materialize(table.select("person_id", "features", F.col("outcome").cast("double").alias("outcome")), "vectors"))
 
 
 @query
