@@ -2,7 +2,8 @@
 
 The tokenizer file drops white space and never joins across it, so a text's ids are its words' ids one after the
 other. Each Python worker keeps the ids of words it has met (at most ``MEMO`` of them; then it starts anew) and asks
-the tokenizers library only for the others, many to a call.
+the tokenizers library only for the others, many to a call: words of letters with spaces between, cut behind the ids
+that end a pre-token, and other words with a special token between.
 """
 
 from __future__ import annotations
