@@ -241,6 +241,39 @@ def test_word_encoder_asks_for_letters_once():
     assert sum(len(t.split(encoder.between)) for t in asked if encoder.between in t) == 3
 
 
+def test_word_encoder_cuts_before_punctuation():
+    """A word is learned once, whatever punctuation follows; words with special tokens stay as they are written."""
+    encoder = WordEncoder(WORDS)
+    text = "Word word, word. WORD's caf\u00e9? caf\u00e9"
+    assert encoder.ids([text]) == library_ids([text])
+    assert set(encoder.memo) == {b"word", b",", b".", b"'s", "caf\u00e9".encode(), b"?"}
+    odd = ["a.b''s,'s", "Ab,<|endoftext|>Cd. ef.", "A.<|B. C.", "x<|ENDOFTEXT|>y, Z.", None, "", "\u0130. a=\u0338 <| |>.", "<|endoftext|>"]
+    for texts in (odd, odd[::-1], *([t] for t in odd)):
+        assert WordEncoder(WORDS).ids(texts) == encoder.ids(texts) == library_ids(texts)
+
+
+def test_word_encoder_without_merges_alone():
+    """Where the file's other steps are not known to leave a word alone, every word goes through all of them."""
+    encoder, texts = WordEncoder(WORDS), ["Plain words, some more.", "caf\u00e9 words"]
+    assert encoder.plain is not None
+    encoder.plain = None
+    assert encoder.ids(texts) == library_ids(texts)
+
+
+def test_word_encoder_after_a_failed_call(monkeypatch):
+    """Words that a failed call asked for are asked for again; a memo that starts anew loses none of a call's ids."""
+    encoder, texts = WordEncoder(WORDS), ["some words, \u00f6ffnung.", "more words"]
+    held, encoder.tokenizer = encoder.tokenizer, None
+    with pytest.raises(AttributeError):
+        encoder.ids(texts)
+    encoder.tokenizer = held
+    assert encoder.ids(texts) == library_ids(texts)
+    assert all(type(x) is bytes and x for x in encoder.memo.values())
+    monkeypatch.setattr("longfeat.llm.words.MEMO", 6)
+    assert encoder.ids(["words anew, some more."]) == library_ids(["words anew, some more."])
+    assert set(encoder.memo) == {b"anew"}
+
+
 def test_token_files(lspark, case, tmp_path):
     docs, rows = case
     tokenfile.write_token_files(docs, str(tmp_path / "t"), WORDS, 1, parts=3)
