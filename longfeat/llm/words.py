@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import batched, pairwise
 from typing import TYPE_CHECKING
 
@@ -53,7 +53,7 @@ LEAVE_ASCII_WORDS = {
 }
 
 
-def words_apart(texts: list[bytes]) -> list[list[bytes]]:
+def words_apart(texts: list[bytes]) -> Iterator[list[bytes]]:
     """The words of each text, ASCII capitals folded, in pieces whose ids, one after the other, are the text's.
 
     A pre-token of letters ends before punctuation, so "word," gives "word" and ",". Words with "<|" may hold a special
@@ -73,7 +73,7 @@ def words_apart(texts: list[bytes]) -> list[list[bytes]]:
     ends = np.cumsum([2, *(len(t) + 1 for t in texts)])
     ends += np.searchsorted(at, ends)
     apart = np.insert(data, at, ord(" ")).tobytes()
-    return [apart[a:b].split() for a, b in pairwise(ends.tolist())]
+    return (apart[a:b].split() for a, b in pairwise(ends.tolist()))
 
 
 class Memo(dict[bytes, bytes]):
@@ -112,6 +112,7 @@ class WordEncoder:
     def ids(self, texts: Iterable[str | None]) -> list[bytes]:
         split = words_apart([(text or "").encode("utf-8", "surrogatepass") for text in texts])
         self.memo.new = {}
+        # A text's words are looked up and dropped before the next text is split, so they stay in the processor's cache.
         found = [list(map(self.memo.__getitem__, words)) for words in split]
         self._learn(self.memo.new)
         return list(map(b"".join, found))
